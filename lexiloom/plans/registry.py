@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import problems
+from lexiloom.plans import problems, search
 
-_MODULES = (problems,)
+_MODULES = (problems, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return problems.p4_found(spark, sf_dir)
+    return search.q1_suggest(spark, sf_dir)
