@@ -94,9 +94,14 @@ def merge_duplicate_senses(senses: DataFrame, key: str = "id") -> DataFrame:
     Attachments are joined in the order of first appearance, each once.
     """
     lists = [n for n in ("labels", "examples", "translations", "synonyms", "antonyms", "related") if n in senses.columns]
-    joined = [F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("sense", n))), lambda x, n=n: x[n]))).alias(n) for n in lists]
+
+
+    def joined_up(name: str) -> Column:
+        in_order = F.sort_array(F.collect_list(F.struct("sense", name)))
+        return F.array_distinct(F.flatten(F.transform(in_order, lambda x: x[name]))).alias(name)
+
     folded = senses.withColumn("_f", fold_gloss(F.col("gloss")))
-    return folded.groupBy(key, "_f").agg(F.min(F.struct("sense", "gloss")).alias("_m"), *joined).select(key, "_m.sense", "_m.gloss", *lists)
+    return folded.groupBy(key, "_f").agg(F.min(F.struct("sense", "gloss")).alias("_m"), *map(joined_up, lists)).select(key, "_m.sense", "_m.gloss", *lists)
 
 
 def render_senses(senses: DataFrame, key: str = "id") -> DataFrame:

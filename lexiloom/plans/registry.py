@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import problems, search
+from lexiloom.plans import lexicon, packs, problems, search
 
-_MODULES = (problems, search)
+_MODULES = (problems, lexicon, search, packs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
