@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import lexicon, packs, problems, search
+from lexiloom.plans import lexicon, packs, problems, search, sources, streams
 
-_MODULES = (problems, lexicon, search, packs)
+_MODULES = (problems, lexicon, search, packs, sources, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
