@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +25,29 @@ def build_session(master: str = "local[*]", app: str = "lexiloom", **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes the package importable in the Python workers, once for each application.
+
+    The archive is made on the driver and handed to Spark, whose file server gives it to every executor, also to those
+    that join later; executors read no folder of the driver's machine.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_lexiloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.NamedTemporaryFile(prefix="lexiloom-", suffix=".zip", delete=False) as made, zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in os.walk(root):
+            for file in files:
+                if file.endswith(".py"):
+                    full = os.path.join(folder, file)
+                    archive.write(full, os.path.join("lexiloom", os.path.relpath(full, root)))
+    context.addPyFile(made.name)
+    context._lexiloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data directory: one Parquet file or a folder of them."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
