@@ -55,7 +55,7 @@ def rejection(meta: DataFrame) -> DataFrame:
     packs = meta.groupBy("pack_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("key", "value")))).alias("m"))
     value = lambda k: F.try_element_at("m", F.lit(k))
     number = lambda k, kind: F.trim(value(k)).try_cast(kind)
-    listed = lambda k: F.filter(F.transform(F.split(F.coalesce(value(k), F.lit("")), ","), F.trim), lambda x: x != "")
+    listed = lambda k: F.filter(F.transform(F.split(F.coalesce(value(k), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     missing = None
     for k in REQUIRED_META:
         missing = value(k).isNull() if missing is None else missing | value(k).isNull()

@@ -26,9 +26,7 @@ def src2_inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src3_bilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms that glosses give when they are read as translations."""
-    rows = dumps.bilingual(_records(spark, sf_dir))
-    # The outer explode keeps the optimizer from guessing a filter over the Python function ahead of it.
-    return rows.select("rec_id", F.explode_outer("translations").alias("term")).filter("term IS NOT NULL").distinct()
+    return dumps.bilingual_terms(_records(spark, sf_dir), "rec_id")
 
 
 def src11_examples(spark: SparkSession, sf_dir: str) -> DataFrame:

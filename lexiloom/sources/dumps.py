@@ -81,9 +81,11 @@ def word_groups(lines: DataFrame, order: str, word: str) -> DataFrame:
     return with_running(marked, [F.col(order)], {"word_group": F.col("_new")}, place="_p").drop("_p", "_before", "_new")
 
 
-def bilingual(records: DataFrame) -> DataFrame:
-    """Records whose glosses are in another language, with ``translations``: the terms they give."""
-    return records.withColumn("translations", R.gloss_terms_udf(F.transform("senses", lambda s: s["gloss"])))
+def bilingual_terms(records: DataFrame, *keep: str) -> DataFrame:
+    """``(*keep, term)``: the terms that the glosses of records in another language give, each once a record."""
+    glosses = records.select(*keep, F.explode(F.transform("senses", lambda s: s["gloss"])).alias("_g"))
+    terms = glosses.select(*keep, R.gloss_terms_udf("_g").alias("_t"))
+    return terms.select(*keep, F.explode("_t").alias("term")).distinct()
 
 
 def single_sense_examples(lines: DataFrame, text: str, lang_code: str = "es", longest: int = 90) -> DataFrame:
@@ -209,8 +211,8 @@ def required_words(spark: SparkSession, path: str, directive: str = "#! solo el
 
     The file is a short list kept by hand and is read as one text, so its state needs no order of rows.
     """
-    groups = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", "\\n\\s*\\n")).alias("g"))
-    lines = groups.select(F.transform(F.split("g", "\\n"), F.trim).alias("l"))
+    groups = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\\n\\s*\\n")).alias("g"))
+    lines = groups.select(F.transform(F.split("g", "\\n"), lambda x: F.trim(x)).alias("l"))
     at = F.array_position("l", directive)
     numbered = lines.select(F.posexplode("l").alias("i", "word"), at.alias("_at"))
     return numbered.filter("word <> ''").filter(~F.col("word").startswith("#")).select("word", ~((F.col("_at") > 0) & (F.col("i") + 1 > F.col("_at"))).alias("every_tier"))
