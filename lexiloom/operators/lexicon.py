@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def translation_keys(key: Column) -> Column:
-    """The search keys of a translation: the whole phrase and, if it has several words, each of them; none for an empty one."""
+    """The search keys of a translation: the whole phrase and, if it has several words, each of them; none for an empty or null one."""
     words = F.split(key, " ")
     every = F.when(F.size(words) > 1, F.array_distinct(F.concat(F.array(key), words))).otherwise(F.array(key))
     return F.filter(every, lambda k: k != "")
