@@ -83,9 +83,36 @@ orphan AS (
     SELECT 1 FROM entry e WHERE e.id = r.entry_id AND e.loaded_at <= r.loaded_at AND (e.removed_at IS NULL OR r.loaded_at < e.removed_at)))
 """
 
+_MEMBERS = "CASE json_type({0}) WHEN 'ARRAY' THEN json_extract({0}, '$[*]') WHEN 'NULL' THEN [] ELSE [{0}] END"
+
+
+def _level(name: str, parent: str, held: str, path: str) -> str:
+    """A table of the nodes of one nested place: ``rec_id, node_path, m``. Null members and blank strings are no nodes."""
+    members = _MEMBERS.format(held)
+    return f"""{name} AS (SELECT rec_id, concat({path}, CAST(place - 1 AS VARCHAR)) AS node_path, m FROM (
+  SELECT rec_id, node_path AS up, unnest({members}) AS m, generate_subscripts({members}, 1) AS place FROM {parent})
+  WHERE json_type(m) <> 'NULL' AND NOT (json_type(m) = 'VARCHAR' AND trim(m ->> '$') = ''))"""
+
+
+def _p3_sql() -> str:
+    places = [
+        ("forms", "record", "m -> '$.forms'", "'forms/'"), ("form_tags", "forms", "m -> '$.tags'", "up, '/tags/'"),
+        ("senses", "record", "m -> '$.senses'", "'senses/'"), ("glosses", "senses", "m -> '$.glosses'", "up, '/glosses/'"),
+        ("sense_tags", "senses", "m -> '$.tags'", "up, '/tags/'"), ("examples", "senses", "m -> '$.examples'", "up, '/examples/'"),
+        ("example_tags", "examples", "m -> '$.tags'", "up, '/tags/'"), ("synonyms", "senses", "m -> '$.synonyms'", "up, '/synonyms/'"),
+        ("synonym_tags", "synonyms", "m -> '$.tags'", "up, '/tags/'"),
+    ]
+    levels = ",\n".join(_level(*p) for p in places)
+    union = " UNION ".join(f"SELECT rec_id, node_path FROM {p[0]}" for p in places)
+    return f"""WITH record AS (SELECT DISTINCT rec_id, '' AS node_path, CAST(raw_json AS JSON) AS m FROM (SELECT * FROM wikt_raw WHERE json_valid(raw_json)) WHERE json_type(raw_json) = 'OBJECT'),
+{levels}
+{union}"""
+
+
 QUERIES = {f.__name__: f for f in (p3_found, p3_tables, p4_found, p4_summary, p7_found, p7_report)}
 
 ORACLES = {
+    "p3_found": _p3_sql(),
     "p4_found": _P4 + "SELECT data_version, uid, change_kind FROM changes",
     "p4_summary": _P4 + "SELECT data_version, change_kind, count(*) AS n_uids FROM changes GROUP BY ALL",
     "p7_found": _P7 + "SELECT DISTINCT ref_table, norm, entry_id, strftime(loaded_at, '%Y-%m') AS load_month FROM orphan",

@@ -142,7 +142,7 @@ def q20_empty_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = S.prefix_rung(queries, entry, LIMIT).select("query_id").distinct()
     empty = queries.join(own, "query_id", "left_anti").select("query_id", F.substring("q", 1, 4).alias("q"))
     other = S.prefix_join(empty, "q", entry.select("id", "norm"), "norm").groupBy("query_id").agg(F.least(F.count("*"), F.lit(9)).alias("n_other"))
-    return empty.select("query_id").join(other, "query_id", "left").select("query_id", F.coalesce("n_other", F.lit(0)).alias("n_other"))
+    return empty.select("query_id").join(other, "query_id", "left").select("query_id", F.coalesce("n_other", F.lit(0)).cast("bigint").alias("n_other"))
 
 
 _PREFIX_SQL = """
@@ -171,6 +171,9 @@ occurrence AS (SELECT id AS entry_id, unnest(string_split(words, ' ')) AS term,
 posting AS (SELECT term, entry_id, n_terms, count(*) AS tf FROM occurrence GROUP BY ALL)
 """
 
+_TYPO = f"""typo AS (SELECT id AS query_id, {X.norm_sql("concat(substr(norm, 1, 5), substr(norm, 7, 1), substr(norm, 6, 1), substr(norm, 8))")} AS q, lang AS q_lang, fuzzy AS q_fuzzy
+  FROM pack_entry WHERE id % 20 = 0 AND length(norm) >= 7)"""
+
 QUERIES = {
     f.__name__: f
     for f in (q1_suggest, q1_suggest_misspelt, q2_prefix, q3_inflected, q4_translation, q5_fuzzy, q6_definitions, agg26_bm25_stats, q7_entry, q8_resolve, q9_entry_id, q10_previews, q12_merge, q13_fallback, q19_visit_target, q20_empty_probe)
@@ -200,6 +203,9 @@ gated AS (SELECT * FROM counted WHERE match_kind = 0 OR (match_kind = 1 AND n0 <
 unique_word AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, headword, pos ORDER BY match_kind, score, entry_id) AS uw FROM gated) WHERE uw = 1)
 SELECT query_id, entry_id, headword, pos, match_kind, score, CAST(p - 1 AS INT) AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match_kind, score, entry_id) AS p FROM unique_word) WHERE p <= 30""",
+    "q20_empty_probe": f"""WITH {pack.SQL}, {_TYPO},
+empty AS (SELECT query_id, substr(q, 1, 4) AS q FROM typo t WHERE NOT EXISTS (SELECT 1 FROM pack_entry e WHERE starts_with(e.norm, t.q) AND e.lang = t.q_lang))
+SELECT query_id, CAST(least(9, (SELECT count(*) FROM pack_entry e WHERE starts_with(e.norm, empty.q))) AS BIGINT) AS n_other FROM empty""",
     "q6_definitions": _BM25
     + f""",
 query AS (SELECT id AS query_id, list_reverse(list_reverse(string_split(words, ' '))[1:2]) AS terms FROM text WHERE id % 20 = 0 AND len(string_split(words, ' ')) >= 2),
