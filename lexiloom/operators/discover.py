@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiloom.operators.lexicon import kept_participles, richest
+from lexiloom.operators.ordered import grouped_places
 
 COMMON = 0
 DRAW = 20
@@ -57,8 +58,9 @@ def discover_rows(staging: DataFrame, form: DataFrame, boundary: int | None, end
         best = richest(staging.filter("discover IS NOT NULL"), ["headword", "discover"], F.length("body")).select("id", F.lit(True).alias("_best"))
         rows = rows.join(best, "id", "left").filter((F.col("rank") >= boundary) | F.col("_best")).drop("_best")
     coded = rows.withColumn("pos_code", F.when(F.lower("pos").rlike("^(noun|sust|subst|nom|сущ|ουσ)"), 0).when(F.lower("pos").rlike("^(verb|глаг|ρήμα)"), 1).otherwise(2))
-    place = Window.partitionBy("discover", "pos_code").orderBy("id")
-    return coded.select(F.col("discover").alias("tier"), "pos_code", (F.row_number().over(place) - 1).alias("seq"), F.col("id").alias("entry_id"))
+    slim = coded.select(F.col("discover").alias("tier"), "pos_code", F.col("id").alias("entry_id"))
+    # There are few pools and all of them are large, so their places are counted over ranges and not by pool.
+    return grouped_places(slim, ["tier", "pos_code"], ["entry_id"], "seq").select("tier", "pos_code", "seq", "entry_id")
 
 
 def pools(discover: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.ordered import grouped_places
+
 
 def translation_keys(key: Column) -> Column:
     """The search keys of a translation: the whole phrase and, if it has several words, each of them; none for an empty or null one."""
@@ -30,21 +32,17 @@ def colliding(df: DataFrame, key: str, shown: Column) -> DataFrame:
 def homographs(df: DataFrame, *by: str, key: str = "id") -> DataFrame:
     """``df`` with ``n_homographs`` and ``sense_key``: the place among the rows that agree in ``by``, empty if there is one.
 
-    Counts come from a reduction that is joined back, since a window over a word with very many rows would hold them all.
+    Counts come from a reduction that is joined back and places from ``grouped_places``, since a window over a word with
+    very many rows would hold them all.
     """
     counts = df.groupBy(*by).agg(F.count("*").alias("n_homographs"))
     same = None
     for c in by:
         one = F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
         same = one if same is None else same & one
-    joined = df.alias("l").join(counts.alias("r"), same).select("l.*", "r.n_homographs")
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1
-    return joined.withColumn("sense_key", F.when(F.col("n_homographs") > 1, place.cast("string")).otherwise(""))
-
-
-def dense_places(df: DataFrame, groups: list[str], *order: str, out: str = "seq") -> DataFrame:
-    """``df`` with places from 0 without holes inside each group."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1)
+    placed = grouped_places(df, by, [key], "_place")
+    joined = placed.alias("l").join(counts.alias("r"), same).select("l.*", "r.n_homographs")
+    return joined.withColumn("sense_key", F.when(F.col("n_homographs") > 1, F.col("_place").cast("string")).otherwise("")).drop("_place")
 
 
 def unique_reach(sentences: DataFrame, entry: DataFrame, form: DataFrame) -> DataFrame:

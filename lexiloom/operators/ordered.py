@@ -27,3 +27,20 @@ def with_running(df: DataFrame, order: Sequence[Column], totals: dict[str, Colum
     rows = cut.join(F.broadcast(base), "_range")  # as many rows as ranges
     running = {n: F.col(f"_s_{n}") + F.sum(f"_t_{n}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for n in totals}
     return rows.withColumns({place: (F.col("_n") + F.row_number().over(inside) - 1).cast("bigint")} | running).drop("_range", "_n", *[f"_t_{n}" for n in totals], *[f"_s_{n}" for n in totals])
+
+
+def grouped_places(df: DataFrame, groups: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """``df`` with dense places from 0 inside each group, in a total order.
+
+    Places over the whole table minus the first place of the group: a group that holds a third of all rows is counted by
+    as many tasks as its rows need. A null is a group of its own.
+    """
+    keys = [F.col(g).asc_nulls_first() for g in groups]
+    placed = with_running(df, [*keys, *[F.col(o).asc_nulls_first() for o in order]], {}, place="_place")
+    firsts = placed.groupBy(*groups).agg(F.min("_place").alias("_first"))
+    same = None
+    for g in groups:
+        one = F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
+        same = one if same is None else same & one
+    joined = placed.alias("l").join(firsts.alias("r"), same)
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._place") - F.col("r._first")).cast("int").alias(out))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.operators.ordered import with_running
+
 
 def zipf(count: Column, total: Column) -> Column:
     """Occurrences per billion on a scale of powers of ten."""
@@ -22,13 +24,13 @@ def richness_rank(score: Column, proper_noun: Column | None = None) -> Column:
     return value if proper_noun is None else value + F.when(proper_noun, 1000).otherwise(0)
 
 
-def average_rank(df: DataFrame, value: str, out: str, by: str | None = None) -> DataFrame:
-    """``df`` with the rank of a value, ties sharing their mean place, within ``by``.
+def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with the rank of a value, ties sharing their mean place.
 
-    Places come from the counts of the distinct values, so a value that many rows share costs one row in the window.
+    Places come from the running counts of the distinct values, taken range by range, so neither a value that many rows
+    share nor many different values meet in one task.
     """
-    group = [by] if by else []
-    counts = df.groupBy(*group, value).agg(F.count("*").alias("_c"))
-    before = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.select(*group, value, (F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2).alias(out))
-    return df.join(places, [*group, value])
+    counts = df.groupBy(value).agg(F.count("*").alias("_c"))
+    placed = with_running(counts, [F.col(value).asc_nulls_first()], {"_upto": F.col("_c")}, place="_place")
+    places = placed.select(F.col(value).alias("_v"), (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
+    return df.join(places, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators.ordered import with_running
+from lexiloom.operators.ordered import grouped_places, with_running
 from lexiloom.operators.rank import average_rank
 
 #: Zipf value from which frequency alone decides the order of entry.
@@ -52,12 +52,11 @@ def derive(vocabulary: DataFrame, entry: DataFrame, form: DataFrame, trans: Data
     kept = entry.join(vocabulary.select("norm").distinct(), "norm", "left_semi")
     ids = with_running(kept.select("id"), [F.col("id")], {}, place="_p").select(F.col("id").alias("_old"), (F.col("_p") + 1).alias("_new"))
     renamed = lambda df: df.join(ids, F.col("entry_id") == F.col("_old")).drop("_old", "entry_id").withColumnRenamed("_new", "entry_id")
-    seq = Window.partitionBy("tier", "pos_code").orderBy("entry_id")
     return {
         "entry": kept.join(ids, F.col("id") == F.col("_old")).drop("_old", "id").withColumnRenamed("_new", "id"),
         "form": renamed(form),
         "trans": renamed(trans),
-        "discover": renamed(discover.drop("seq")).withColumn("seq", F.row_number().over(seq) - 1),
+        "discover": grouped_places(renamed(discover.drop("seq")), ["tier", "pos_code"], ["entry_id"], "seq"),
     }
 
 
