@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ids in one block of the run index. A block's runs travel as one array, so this bounds its length.
-BLOCK_IDS = 256
+from lexiloom.session import durable
+
+#: A block of the run index holds two to this power ids: a reference is compared with the runs of its block only. Blocks
+#: are found by shifting, which is exact for every bigint, also negative ones.
+BLOCK_BITS = 6
 #: Lives of one id kept inside its run; ids with more are matched over days instead (see ``orphan_references``).
 LIVES_IN_RUN = 64
 
@@ -36,18 +39,17 @@ def merged_lives(parents: DataFrame, key: str, start: str, end: str) -> DataFram
     )
 
 
-def key_runs(lives: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Runs of consecutive ids, by block, and the lives of the ids that have too many of them.
+def key_runs(lives: DataFrame) -> DataFrame:
+    """``(block, s, e, upto, first, lives)``: the runs of consecutive ids of each block that share the same lives.
 
-    A run is a maximal stretch of consecutive ids of one block that share the same lives. The first frame has a row a
-    block: ``(block, runs ARRAY<STRUCT<s, e, first, lives>>)`` in order of ``s``; at most ``BLOCK_IDS`` runs each. In it
-    an id with more than ``LIVES_IN_RUN`` lives has ``lives`` null, and its lives are in the second frame.
+    A run holds the ids from ``s`` to ``e``; ``upto`` is the last id before the next run of the block (the last id of the
+    block for its last run), so that exactly one run is the one that starts at or before an id. ``first`` is when its ids first came.
+    An id with more than ``LIVES_IN_RUN`` lives is a run of its own with ``lives`` null; they are looked up by day instead.
     """
     counted = lives.withColumn("_n", F.count("*").over(Window.partitionBy("id")))
-    many = counted.filter(F.col("_n") > LIVES_IN_RUN).drop("_n")
     few = F.when(F.col("_n") <= LIVES_IN_RUN, F.struct("f", "t"))
     per_id = counted.groupBy("id").agg(F.min("f").alias("first"), F.sort_array(F.collect_list(few)).alias("lives")).select(
-        F.floor(F.col("id") / BLOCK_IDS).alias("block"), "id", "first", F.when(F.size("lives") > 0, F.col("lives")).alias("lives")
+        F.shiftright("id", BLOCK_BITS).alias("block"), "id", "first", F.when(F.size("lives") > 0, F.col("lives")).alias("lives")
     )
     by_id = Window.partitionBy("block").orderBy("id")
     same = (F.col("id") == F.lag("id").over(by_id) + 1) & F.col("lives").eqNullSafe(F.lag("lives").over(by_id)) & F.col("lives").isNotNull()
@@ -57,8 +59,8 @@ def key_runs(lives: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("block", "_run")
         .agg(F.min("id").alias("s"), F.max("id").alias("e"), F.min("first").alias("first"), F.first("lives").alias("lives"))
     )
-    blocks = runs.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("s", "e", "first", "lives"))).alias("runs"))
-    return blocks, many
+    following = F.lead("s").over(Window.partitionBy("block").orderBy("s"))
+    return runs.select("block", "s", "e", F.coalesce(following - 1, F.shiftleft("block", BLOCK_BITS).bitwiseOR(F.lit(2**BLOCK_BITS - 1))).alias("upto"), "first", "lives")
 
 
 def orphan_references(
@@ -68,37 +70,35 @@ def orphan_references(
 
     Method: the sorted integer keys of the parents are compressed into contiguous runs (``key_runs``); each reference is
     matched as-of to the run that starts at or before its key and is reported if its key lies beyond the run's end, or
-    if no life of that run holds its time. Runs are cut at block borders, so the as-of match is one equi-join on the
-    block with a bounded array on the parents' side; a block that holds a third of all references is split by the
-    adaptive skew join, since the side that is split carries no state. An id that was removed and added again more than
-    ``LIVES_IN_RUN`` times is matched exactly over the days of its lives, which are disjoint.
+    if no life of that run holds its time. Runs are cut at block borders, so the as-of match is an equi-join on the block
+    with the run's reach as residual, which at most one run meets; a block that holds a third of all references is split
+    by the adaptive skew join, since the side that is split carries no state. The run index is written once. An id that
+    was removed and added again more than ``LIVES_IN_RUN`` times is matched exactly over the days of its lives, which are
+    disjoint; that path is planned only if the index holds such an id.
 
     All columns of ``refs`` come back, plus ``orphan_reason``: ``never`` (no row of the parent has that id),
     ``before`` (it came only later) or ``removed``. Rows with a null key refer to nothing and are left out; a null time
     is live at no time. Repeated rows come back as often as they occur.
     """
     own = refs.columns
-    blocks, many = key_runs(merged_lives(parents, key, start, end))
+    lives = merged_lives(parents, key, start, end)
+    runs = durable(key_runs(lives))
     packed = refs.filter(F.col(ref_key).isNotNull()).select(
         F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(ref_key).cast("bigint").alias("_id"), F.col(ref_time).cast("timestamp_ntz").alias("_at")
-    ).withColumn("_block", F.floor(F.col("_id") / BLOCK_IDS))
-    asof = F.element_at(F.filter("runs", lambda r: r["s"] <= F.col("_id")), -1)
-    matched = packed.join(blocks, packed["_block"] == blocks["block"], "left").select(
-        "_row", "_id", "_at", F.when(F.size("runs") > 0, F.when(F.element_at("runs", 1)["s"] <= F.col("_id"), asof)).alias("_run")
-    )
-    beyond = F.col("_run").isNull() | (F.col("_id") > F.col("_run.e"))
-    live: Column = F.coalesce(F.exists("_run.lives", lambda x: (x["f"] <= F.col("_at")) & (x["t"].isNull() | (F.col("_at") < x["t"]))), F.lit(False))
-    overflow = ~beyond & F.col("_run.lives").isNull()
-    judged = matched.select(
-        "_row", "_id", "_at", F.when(beyond, "never").when(overflow, "many").when(live, "live").when(F.col("_at") < F.col("_run.first"), "before").otherwise("removed").alias("_why"), F.col("_run.first").alias("_first")
-    )
-    plain = judged.filter(F.col("_why").isin("never", "before", "removed")).select("_row", "_why")
-    closed = many.filter("t IS NOT NULL").select("id", "f", "t", F.explode(F.sequence(F.to_date("f"), F.to_date("t"))).alias("day"))
-    still = many.filter("t IS NULL").select("id", "f")  # lives are merged, so an id has at most one of these
-    rest = judged.filter(F.col("_why") == "many")
-    in_closed = (rest["_id"] == closed["id"]) & (F.to_date(rest["_at"]) == closed["day"]) & (closed["f"] <= rest["_at"]) & (rest["_at"] < closed["t"])
-    rest = rest.join(closed, in_closed, "left_anti")
-    rest = rest.join(still, (rest["_id"] == still["id"]) & (still["f"] <= rest["_at"]), "left_anti").select(
-        "_row", F.when(F.col("_at") < F.col("_first"), "before").otherwise("removed").alias("_why")
-    )
-    return plain.unionByName(rest).select("_row.*", F.col("_why").alias("orphan_reason"))
+    ).withColumn("_block", F.shiftright("_id", BLOCK_BITS))
+    asof = (packed["_block"] == runs["block"]) & (runs["s"] <= packed["_id"]) & (packed["_id"] <= runs["upto"])
+    matched = packed.join(runs, asof, "left").select("_row", "_id", "_at", "e", "first", "lives")
+    beyond = F.col("e").isNull() | (F.col("_id") > F.col("e"))
+    live = F.coalesce(F.exists("lives", lambda x: (x["f"] <= F.col("_at")) & (x["t"].isNull() | (F.col("_at") < x["t"]))), F.lit(False))
+    reason = F.when(beyond, "never").when(F.col("_at") < F.col("first"), "before").otherwise("removed")
+    found = matched.filter(beyond | (F.col("lives").isNotNull() & ~live)).select("_row", reason.alias("_why"))
+    if not runs.filter("lives IS NULL").isEmpty():
+        many = lives.join(runs.filter("lives IS NULL").select(F.col("s").alias("id")), "id", "left_semi")
+        closed = many.filter("t IS NOT NULL").select("id", "f", "t", F.explode(F.sequence(F.to_date("f"), F.to_date("t"))).alias("day"))
+        still = many.filter("t IS NULL").select("id", "f")  # lives are merged, so an id has at most one of these
+        rest = matched.filter(~beyond & F.col("lives").isNull())
+        in_closed = (rest["_id"] == closed["id"]) & (F.to_date(rest["_at"]) == closed["day"]) & (closed["f"] <= rest["_at"]) & (rest["_at"] < closed["t"])
+        rest = rest.join(closed, in_closed, "left_anti")
+        rest = rest.join(still, (rest["_id"] == still["id"]) & (still["f"] <= rest["_at"]), "left_anti").select("_row", reason.alias("_why"))
+        found = found.unionByName(rest)
+    return found.select("_row.*", F.col("_why").alias("orphan_reason"))

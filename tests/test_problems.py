@@ -69,7 +69,7 @@ def spark_orphans(spark, refs, parents):
 def test_orphans_against_brute_force(spark):
     rng = random.Random(5)
     parents = []
-    for i in list(range(1, 60)) + list(range(250, 262)) + [2**40, -7]:
+    for i in list(range(1, 60)) + list(range(250, 262)) + [2**40, -7, 2**63 - 1, 2**63 - 2, -(2**63)]:
         day = rng.randrange(5)
         for _ in range(rng.choice([1, 1, 1, 2, 3])):
             end = day + rng.randrange(1, 6)
@@ -79,7 +79,7 @@ def test_orphans_against_brute_force(spark):
             if open_end:
                 break
     parents += [(5, at(3), at(2)), (None, at(0), None), (6, None, None)] + parents[:4]
-    refs = [(f"k{n}", rng.choice([*range(-10, 65), *range(248, 265), 2**40, None]), at(rng.randrange(20))) for n in range(600)]
+    refs = [(f"k{n}", rng.choice([*range(-70, 65), *range(248, 265), 2**40, 2**63 - 1, 2**63 - 3, -(2**63), 2**62 + 1, None]), at(rng.randrange(20))) for n in range(600)]
     refs += [("null time", 1, None), ("twice", 999, at(1)), ("twice", 999, at(1))]
     assert spark_orphans(spark, refs, parents) == brute_orphans(refs, parents)
 
@@ -100,9 +100,8 @@ def test_orphans_reasons_and_empty_tables(spark):
 
 def test_runs_are_contiguous(spark):
     p = spark.createDataFrame([(i, at(0), None) for i in (*range(1, 101), *range(200, 300))], "id bigint, loaded_at timestamp_ntz, removed_at timestamp_ntz")
-    blocks, many = orphans.key_runs(orphans.merged_lives(p, "id", "loaded_at", "removed_at"))
-    runs = sorted((r.s, r.e) for b in blocks.collect() for r in b.runs)
-    assert runs == [(1, 100), (200, 255), (256, 299)] and many.count() == 0
+    runs = orphans.key_runs(orphans.merged_lives(p, "id", "loaded_at", "removed_at")).collect()
+    assert sorted((r.s, r.e, r.upto) for r in runs) == [(1, 63, 63), (64, 100, 127), (200, 255, 255), (256, 299, 319)]
 
 
 RECORD = {
