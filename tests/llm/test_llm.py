@@ -310,7 +310,7 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert sum(r.doc_id == 3 for r in out) == 2
     assert not next(r for r in out if r.doc_id == 1002).lossless
     right = sum(r.restored == truth.get(r.doc_id) for r in out)
-    assert right >= 0.9 * len(truth), right
+    assert right >= 0.95 * len(truth), (right, len(truth))
 
 
 def test_garbled_in_an_empty_table(spark):
