@@ -64,6 +64,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured or context.getCheckpointDir()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores, for steps that spend long on each row.
+
+    Only an input of fewer partitions than cores, a few files of one row group each, is shuffled for it; at scale the
+    scan has more partitions by itself and the frame comes back as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: lineage is cut and losing an executor costs nothing."""
     ensure_checkpoint_dir(df.sparkSession)
