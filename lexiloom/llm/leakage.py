@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.session import durable
+from lexiloom.session import durable, spread
 
 WINDOW = 12
 SHINGLE = 5
@@ -143,7 +143,8 @@ def corpus_hits(docs: DataFrame, key: str, text: str, wanted: np.ndarray) -> Dat
             if rows:
                 yield flush()
 
-    return docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter("_text IS NOT NULL AND _doc IS NOT NULL").mapInArrow(scan, schema)
+    rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).filter("_text IS NOT NULL AND _doc IS NOT NULL")
+    return spread(rows).mapInArrow(scan, schema)
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

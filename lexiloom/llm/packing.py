@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.session import durable
+from lexiloom.session import durable, spread
 
 #: Where the public vocabularies lie; a parameter of ``token_lengths``.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -167,7 +167,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     each salt its first rank. Nothing is collected but the histogram (at most ``capacity`` rows a salt).
     """
     spark = df.sparkSession
-    sized = durable(token_lengths(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text", "_n", vocabulary).select("_key", "_n"))
+    sized = durable(token_lengths(spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))), "_text", "_n", vocabulary).select("_key", "_n"))
     cut = F.floor((F.greatest(F.col("_n"), F.lit(1)) - 1) / capacity).cast("int")
     pieces = sized.select("_key", "_n", F.explode(F.sequence(F.lit(0), cut)).alias("_piece")).withColumn("_len", F.least(F.lit(capacity), F.col("_n") - F.col("_piece") * capacity).cast("int"))
     histogram = {r._len: r.n for r in pieces.groupBy("_len").agg(F.count("*").alias("n")).collect()}
