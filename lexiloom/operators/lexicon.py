@@ -84,3 +84,27 @@ def kept_participles(entry: DataFrame, form: DataFrame, endings: str) -> DataFra
 def richest(df: DataFrame, groups: list[str], size: Column, key: str = "id") -> DataFrame:
     """The largest row of each group, at a tie the one of the smallest key."""
     return df.groupBy(*groups).agg(F.min(F.struct((-size).alias("s"), F.col(key).alias("k"))).alias("_m")).select(*groups, F.col("_m.k").alias(key))
+
+
+def expanded_keys(trans: DataFrame, inflections: DataFrame) -> DataFrame:
+    """``(norm, entry_id)``: translation keys and the inflected forms of each (``inflections``: ``norm, forms``)."""
+    more = trans.join(inflections, "norm").select(F.explode("forms").alias("norm"), "entry_id")
+    return trans.select("norm", "entry_id").unionByName(more).distinct()
+
+
+def both_directions(entries: DataFrame, trans: DataFrame, limit: int = 8) -> DataFrame:
+    """``(direction, headword, pos, rank, equivalents)``: the entries as they are, and one for each of their translations.
+
+    A reverse entry has the rank and part of speech of its best equivalent and lists the ``limit`` best; it says how a word
+    is put in the other language and has no senses of its own.
+    """
+    pairs = trans.withColumnRenamed("norm", "key").join(entries.select("id", "headword", "pos", "rank"), F.col("entry_id") == F.col("id"))
+    best = pairs.groupBy("key").agg(F.min(F.struct("rank", "headword", "pos")).alias("_b"))
+    reverse = reverse_index(pairs, "key", ["rank", "headword", "pos"], limit).join(best, "key")
+    forward = entries.select(F.lit("forward").alias("direction"), "headword", "pos", "rank", F.array().cast("array<string>").alias("equivalents"))
+    return forward.unionByName(reverse.select(F.lit("reverse").alias("direction"), F.col("key").alias("headword"), "_b.pos", "_b.rank", "equivalents"))
+
+
+def most_used(words: DataFrame, word: str, n: int) -> DataFrame:
+    """The ``n`` most frequent words with their counts, ties by word."""
+    return words.groupBy(word).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), word).limit(n)

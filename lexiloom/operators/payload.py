@@ -129,3 +129,53 @@ def search_text(senses: DataFrame, key: str = "id") -> DataFrame:
     parts = F.concat(F.array("gloss"), F.transform("examples", lambda e: e["text"]), "translations", "synonyms")
     one = senses.select(key, "sense", F.array_join(parts, " ").alias("_t"))
     return one.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sense", "_t"))), lambda x: x["_t"]), " ").alias("fts_body"))
+
+
+def word_lines(df: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
+    """``(key, pos, pronunciation, syllables, etymology, word_translations, forms)``: what a body says of the word.
+
+    Of single values the first stands; ``forms`` are structs of key and form, lines without the colon are skipped.
+    """
+    lines = F.transform(F.split(body, "\n"), lambda x: F.struct(F.substring(x, 1, 1).alias("tag"), F.regexp_extract(x, "^.\\t(.+)$", 1).alias("value")))
+
+    def of(tag: str) -> Column:
+        return F.transform(F.filter(lines, lambda x: (x["tag"] == tag) & (x["value"] != "")), lambda x: x["value"])
+
+    def first(tag: str) -> Column:
+        return F.try_element_at(of(tag), F.lit(1))
+
+    pairs = F.transform(F.filter(of("F"), lambda v: v.rlike("^[^:]+:.+")), lambda v: F.struct(F.regexp_extract(v, "^([^:]+):", 1).alias("key"), F.regexp_extract(v, "^[^:]+:(.+)$", 1).alias("form")))
+    return df.select(
+        key, first("P").alias("pos"), first("I").alias("pronunciation"), first("H").alias("syllables"), first("M").alias("etymology"), of("W").alias("word_translations"), pairs.alias("forms")
+    )
+
+
+def glued_examples(entries: DataFrame, examples: DataFrame, body: str = "body") -> DataFrame:
+    """``entries`` whose body got the example of its headword and part of speech, where it has one sense and no example."""
+    e = examples.select(F.col("headword").alias("_h"), F.col("pos").alias("_p"), sanitize(F.col("example")).alias("_x"))
+    joined = entries.join(e, (F.col("headword") == F.col("_h")) & F.col("pos").eqNullSafe(F.col("_p")), "left")
+    fits = admits_sentence(F.col(body)) & F.col("_x").isNotNull()
+    line = F.concat(F.lit("\nE\t"), F.col("_x"))
+    glued = F.when(fits, F.concat(F.regexp_extract(body, "(?s)^(.*?(?:^|\\n)S\\t[^\\n]*(?:\\nU\\t[^\\n]*)*)", 1), line, F.regexp_extract(body, "(?s)^.*?(?:^|\\n)S\\t[^\\n]*(?:\\nU\\t[^\\n]*)*(.*)$", 1)))
+    return joined.withColumn(body, F.coalesce(glued, F.col(body))).drop("_h", "_p", "_x")
+
+
+def compression_dictionary(bodies: DataFrame, body: str = "body", size: int = 32 * 1024, sample: int = 4000) -> bytes:
+    """A preset dictionary for deflate: frequent sequences of words, the most frequent last, then the tail of a sample.
+
+    The sample is the ``sample`` bodies of smallest hash, so it is the same on every run; what reaches the driver is that
+    sample and as many sequences as fit in half the dictionary.
+    """
+    from lexiloom.operators.tiers import word_ngrams
+
+    picked = bodies.select(F.col(body).alias("_b")).filter("_b IS NOT NULL").orderBy(F.xxhash64("_b"), "_b").limit(sample)
+    half = size // 2
+    found = word_ngrams(picked, "_b").filter("n > 1").orderBy(F.col("n").desc(), F.length("ngram").desc(), "ngram").limit(half // 4)
+    chosen, total = [], 0
+    for row in found.collect():  # at most half // 4 rows, since no sequence is shorter than four bytes with its space
+        phrase = (row.ngram + " ").encode("utf-8")
+        if total + len(phrase) <= half:
+            chosen.append(phrase)
+            total += len(phrase)
+    tail = "".join(r._b for r in picked.collect()).encode("utf-8")[-half:]
+    return b"".join(reversed(chosen)) + tail
