@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from lexiloom.session import durable
 
-#: Partitions of the stored counts.
+#: Partitions of the stored counts; more for a larger vocabulary, so that one is a task's worth of rows.
 BUCKETS = 64
 COUNT_SCHEMA = "src_field string, term string, n_occurrences bigint, n_records bigint"
 
@@ -84,12 +84,12 @@ def signed_records(before: DataFrame, after: DataFrame, key: str = "frase_id", c
 class TermCounts:
     """Counts of terms in a folder: a data folder a version and bucket, and a manifest that names the version of each bucket.
 
-    ``apply`` rewrites only the buckets that a delivery touches; the manifest, at most ``BUCKETS`` rows, is written last,
-    so a run that is lost half-way leaves the old counts in force.
+    ``apply`` rewrites only the buckets that a delivery touches; the manifest, a row a bucket, is written last, so a run
+    that is lost half-way leaves the old counts in force.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, 0
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.version, self.buckets = spark, path, 0, buckets
         self.manifest: dict[int, int] = {}
 
     def counts(self) -> DataFrame:
@@ -102,20 +102,32 @@ class TermCounts:
             return self.spark.createDataFrame([], COUNT_SCHEMA)
         return self.spark.read.schema(COUNT_SCHEMA).parquet(*at)
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("src_field", "term"), F.lit(self.buckets)).cast("int")
+
+    def _written(self) -> set[int]:
+        """The buckets that the last version wrote, by a listing of its folder; one that lost all its terms has none."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/v={self.version}")
+        system = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in system.listStatus(folder)]
+        return {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
+
     def apply(self, signed_terms: DataFrame) -> None:
         """Merges signed rows as ``term_rows`` gives them; terms whose counts come to nothing leave the table."""
         delta = signed_terms.groupBy("src_field", "term").agg(F.sum("d_occurrences").alias("n_occurrences"), F.sum("d_records").alias("n_records"))
-        delta = durable(delta.filter("n_occurrences <> 0 OR n_records <> 0").withColumn("bucket", F.pmod(F.xxhash64("src_field", "term"), F.lit(BUCKETS)).cast("int")))
-        touched = sorted(r.bucket for r in delta.select("bucket").distinct().collect())  # at most BUCKETS rows
+        delta = durable(delta.filter("n_occurrences <> 0 OR n_records <> 0").withColumn("bucket", self._bucket()))
+        touched = sorted(r.bucket for r in delta.select("bucket").distinct().collect())  # at most a row a bucket
         if not touched:
             return
         self.version += 1
         known = self._read([b for b in touched if b in self.manifest])
-        stored = known.withColumn("bucket", F.pmod(F.xxhash64("src_field", "term"), F.lit(BUCKETS)).cast("int"))
-        merged = stored.unionByName(delta).groupBy("bucket", "src_field", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
+        stored = known.withColumn("bucket", self._bucket())
+        # Rows go to the task of their bucket once; the sums and the files of a bucket are then made where its rows are.
+        merged = stored.unionByName(delta).repartition("bucket").groupBy("bucket", "src_field", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
         kept = merged.filter("n_occurrences <> 0 OR n_records <> 0")
         kept.write.partitionBy("bucket").parquet(f"{self.path}/data/v={self.version}")
-        written = {r.bucket for r in self.spark.read.parquet(f"{self.path}/data/v={self.version}").select("bucket").distinct().collect()} if not kept.isEmpty() else set()
+        written = self._written()
         self.manifest = {b: v for b, v in self.manifest.items() if b not in touched} | {b: self.version for b in written}
         rows = sorted(self.manifest.items())
         self.spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.parquet(f"{self.path}/manifest/v={self.version}")
