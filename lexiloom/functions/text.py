@@ -72,11 +72,12 @@ def fuzzy(key: Column, lang: Column) -> Column:
 
 
 def fold_gloss(gloss: Column) -> Column:
-    """A gloss as two sources would agree on it: lower case, white space of ASCII collapsed, end punctuation off.
+    """A gloss as two sources would agree on it: case folded, white space of ASCII collapsed, end punctuation off.
 
-    Accents stay. Lower case stands for case folding and the text is taken as composed already.
+    Accents stay; the text is taken as composed already. Folding is lower case plus the letters that it leaves apart.
     """
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(gloss)), "[ \\t\\n\\r\\f\\u000b]+", " "), "^[ .;:,]+|[ .;:,]+$", "")
+    low = F.replace(F.translate(F.lower(F.trim(gloss)), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+    return F.regexp_replace(F.regexp_replace(low, "[ \\t\\n\\r\\f\\u000b]+", " "), "^[ .;:,]+|[ .;:,]+$", "")
 
 
 def sanitize(text: Column) -> Column:
@@ -168,7 +169,8 @@ def fuzzy_sql(key: str, lang: str) -> str:
 
 
 def fold_gloss_sql(gloss: str) -> str:
-    spaced = f"regexp_replace(lower(trim({gloss})), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')"
+    low = f"replace(translate(lower(trim({gloss})), 'ςſ', 'σs'), 'ß', 'ss')"
+    spaced = f"regexp_replace({low}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')"
     return f"regexp_replace({spaced}, '^[ .;:,]+|[ .;:,]+$', '', 'g')"
 
 
