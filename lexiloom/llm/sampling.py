@@ -80,7 +80,8 @@ def first_seen(df: DataFrame, identifiers: Sequence[str], epoch: str, rates: Map
     """A new ledger from a whole history: ``(*identifiers, first_epoch, rate)``, one row for each record.
 
     Rows of one record are reduced to the earliest epoch before the shuffle, so a record that repeats without end costs
-    a row a task. Records with null identifiers are records like others.
+    a row a task. Records with null identifiers are records like others; a record whose epochs are all null has the
+    default rate; other columns are ignored; an empty table gives an empty ledger.
     """
     ids = [F.col(c) for c in identifiers]
     ledger = df.groupBy(*ids).agg(F.min(epoch).alias("first_epoch"))

@@ -43,8 +43,11 @@ def words(text: Column) -> Column:
 def term_rows(records: DataFrame, key: str, value_field: str, text_field: str, value: str = "norm", text: str = "texto", sign: Column | None = None) -> DataFrame:
     """``(src_field, term, d_occurrences, d_records)``: one row a term of each record, times ``sign``.
 
-    Terms of one record are counted inside the record, so the shuffle that follows carries each of them once and needs
-    no distinct count.
+    Occurrences and records are both sums of rows of a record, so one map-side reduction serves both and no distinct count
+    is needed.
+
+    Defined cases: a null value is no term, an empty one is the empty term; a null or empty text has no words; a text of
+    any length is read whole; columns other than the named ones are ignored; an empty table gives no rows.
     """
     sign = F.lit(1) if sign is None else sign
     base = records.select(F.col(value).alias("_value"), words(composed(F.col(text))).alias("_words"), sign.cast("bigint").alias("_sign"))
