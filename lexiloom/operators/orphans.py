@@ -78,7 +78,8 @@ def orphan_references(
 
     All columns of ``refs`` come back, plus ``orphan_reason``: ``never`` (no row of the parent has that id),
     ``before`` (it came only later) or ``removed``. Rows with a null key refer to nothing and are left out; a null time
-    is live at no time. Repeated rows come back as often as they occur.
+    is live at no time. Repeated rows come back as often as they occur. Without parents every reference is ``never``;
+    without references there are no rows.
     """
     own = refs.columns
     lives = merged_lives(parents, key, start, end)
