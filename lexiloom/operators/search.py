@@ -141,7 +141,12 @@ def bm25(queries: DataFrame, index: DataFrame, limit: int = 30) -> DataFrame:
     weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
     length = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("n_terms") / F.lit(total["_avg"] or 1.0))
     part = weight * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + length)
-    scored = words.join(df, "term").join(index, "term").groupBy("query_id", "entry_id").agg(F.round(F.sum(part), 9).alias("relevance"), F.count("*").alias("_got"))
+    # Only entries of a query's rarest word can hold all of its words, so a frequent word is never joined as a whole: it is
+    # looked up for those entries.
+    weighed = words.join(df, "term")
+    rarest = weighed.groupBy("query_id").agg(F.min(F.struct("_df", "term")).alias("_r")).select("query_id", F.col("_r.term").alias("term"))
+    candidates = rarest.join(index.select("term", "entry_id"), "term").select("query_id", "entry_id")
+    scored = candidates.join(weighed, "query_id").join(index, ["term", "entry_id"]).groupBy("query_id", "entry_id").agg(F.round(F.sum(part), 9).alias("relevance"), F.count("*").alias("_got"))
     whole = scored.join(wanted, "query_id").filter("_got = _words")
     top = _top(whole, limit, F.col("relevance").desc(), F.col("entry_id"), place="place")
     return top.select("query_id", "entry_id", "relevance", (F.col("place") - 1).alias("place"))
