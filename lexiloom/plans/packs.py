@@ -60,19 +60,34 @@ def flt19_admits_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.staging(spark, sf_dir).filter(B.admits_sentence(F.col("body"))).select("id")
 
 
+def thesaurus(single: DataFrame, every: DataFrame, keys: DataFrame, form: DataFrame, most: int = 4, salts: int = 32) -> DataFrame:
+    """``(id, term, place)``: for each entry of ``single`` the first ``most`` other terms of its keys by rank, none its own form.
+
+    Keys of any size count whole, without their pairs being made: of a key an entry needs only the first ``most`` terms
+    and one more for each of the key's terms that it may not take, so it looks up that many places and no others.
+    """
+    held = keys.join(every.select(F.col("id").alias("entry_id"), F.col("norm").alias("term"), "rank"), "entry_id").filter("key IS NOT NULL AND term <> ''")
+    terms = durable(held.groupBy("key", "term").agg(F.min("rank").alias("_rank")))
+    mine = keys.join(single.select(F.col("id").alias("entry_id"), "norm"), "entry_id").filter("key IS NOT NULL AND norm IS NOT NULL").select("key", F.col("entry_id").alias("id"), "norm").distinct()
+    forms = form.select(F.col("entry_id").alias("id"), F.col("norm").alias("term"))
+    barred = forms.join(single.select("id"), "id", "left_semi").unionByName(single.select("id", F.col("norm").alias("term"))).distinct()
+    hit = mine.select("key", "id").join(barred, "id").join(terms.select("key", "term"), ["key", "term"]).groupBy("key", "id").agg(F.count("*").alias("_n"))
+    wanted = durable(mine.select("key", "id").join(hit, ["key", "id"], "left").select("key", "id", (F.lit(most) + F.coalesce("_n", F.lit(0))).cast("int").alias("_n")))
+    # Places in two stages, so that a key of very many terms is ranked by several tasks.
+    order = [F.col("_rank").asc_nulls_last(), F.col("term")]
+    depth = terms.join(wanted.groupBy("key").agg(F.max("_n").alias("_n")), "key").withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(salts)))
+    heads = depth.withColumn("_p", F.row_number().over(Window.partitionBy("key", "_salt").orderBy(*order))).filter("_p <= _n")
+    places = heads.withColumn("_p", F.row_number().over(Window.partitionBy("key").orderBy(*order))).filter("_p <= _n").select("key", "_p", "term", "_rank")
+    looked = wanted.select("key", "id", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_p")).join(places, ["key", "_p"])
+    kept = looked.groupBy("id", "term").agg(F.min("_rank").alias("_rank")).join(barred, ["id", "term"], "left_anti")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter(F.col("place") <= most).select("id", "term", "place")
+
+
 def pay7_thesaurus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synonyms to add to entries of one sense: the other entries of its translation keys, up to four, none its own form."""
-    entry = pack.staging(spark, sf_dir).filter(F.regexp_count("body", F.lit("(?m)^S\\t.")) == 1).select("id", "norm", "rank")
-    keys = pack.trans(spark, sf_dir).withColumnRenamed("norm", "key")
-    # Keys that lead to more entries than a synset can hold say nothing about meaning; their pairs would be quadratic too.
-    small = keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n BETWEEN 2 AND 8").select("key")
-    keys = keys.join(small, "key", "left_semi")
-    mine = keys.join(entry, F.col("entry_id") == F.col("id")).select("key", "id", "norm")
-    other = keys.join(pack.staging(spark, sf_dir).select(F.col("id").alias("_o"), F.col("norm").alias("term"), F.col("rank").alias("_rank")), F.col("entry_id") == F.col("_o")).select("key", "_o", "term", "_rank")
-    pairs = mine.join(other, "key").filter("term <> norm AND term <> ''").groupBy("id", "term").agg(F.min("_rank").alias("_rank"))
-    own = pack.form(spark, sf_dir).select(F.col("norm").alias("term"), F.col("entry_id").alias("id"))
-    kept = pairs.join(own, ["id", "term"], "left_anti")
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("_rank", "term"))).filter("place <= 4").select("id", "term", "place")
+    every = pack.staging(spark, sf_dir)
+    single = every.filter(F.regexp_count("body", F.lit("(?m)^S\\t.")) == 1).select("id", "norm")
+    return thesaurus(single, every, pack.trans(spark, sf_dir).withColumnRenamed("norm", "key"), pack.form(spark, sf_dir))
 
 
 # Tiers

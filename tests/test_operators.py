@@ -2,6 +2,7 @@
 
 import random
 import unicodedata
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as X
 from lexiloom.operators import discover, lexicon, ordered, packs, quality, rank, search, tiers
 from lexiloom.operators import payload as B
+from lexiloom.plans import packs as plan_packs
 from lexiloom.streaming import queries as stream
 
 # Own vectors, in the form (text, key).
@@ -323,3 +325,34 @@ def test_every_registered_query_has_unique_name_and_known_oracle():
     from lexiloom.plans import registry
 
     assert set(registry.oracles()) <= set(registry.queries()) and len(registry.queries()) > 80
+
+
+def test_thesaurus_takes_keys_of_any_size(spark):
+    """Against all pairs: a key of hundreds of entries, forms and equal keys that bar its head, two keys of one entry."""
+    rng = random.Random(11)
+    entries = [(i, f"w{rng.randrange(200)}" if i % 50 else "", rng.randrange(40)) for i in range(300)]
+    keys = [("hot", i) for i in range(300)] + [(f"k{rng.randrange(30)}", i) for i in range(300)] + [("alone", 7), ("gone", 999)]
+    norms = {i: n for i, n, _ in entries}
+    form = [(n, i) for i in range(0, 300, 2) for n in sorted({n for _, n, r in entries if r < 20})] + [("w1", 1), ("w2", 1)]
+    barred, single, want = set(form), [i for i in range(300) if i % 3], set()
+    for i in single:
+        best = {}
+        for key in {k for k, e in keys if e == i}:
+            for other in {e for k, e in keys if k == key and e in norms}:
+                term, rank = norms[other], entries[other][2]
+                if term and term != norms[i] and (term, i) not in barred:
+                    best[term] = min(best.get(term, rank), rank)
+        want |= {(i, t, p) for p, (t, _) in enumerate(sorted(best.items(), key=lambda x: (x[1], x[0]))[:4], 1)}
+    every = spark.createDataFrame(entries, "id bigint, norm string, rank int")
+    found = plan_packs.thesaurus(every.filter("id % 3 <> 0"), every, spark.createDataFrame(keys, "key string, entry_id bigint"), spark.createDataFrame(form, "norm string, entry_id bigint"))
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 700
+
+
+def test_thesaurus_query_keeps_a_key_of_twenty_entries(spark, tmp_path):
+    columns = "id bigint, loaded_at timestamp, rank int, uid bigint, lang string, headword string, norm string, fuzzy string, pos string, body string, fts_body string, discover int"
+    rows = [(i, datetime(2025, 1, 1), i, i, "es", f"w{i:02}", f"w{i:02}", f"w{i:02}", None, "S\tx\n", "x", None) for i in range(20)]
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/staging.parquet")
+    spark.createDataFrame([("hot", i) for i in range(20)], "norm string, entry_id bigint").write.parquet(f"{tmp_path}/trans.parquet")
+    spark.createDataFrame([("w01", 0)], "norm string, entry_id bigint").write.parquet(f"{tmp_path}/form.parquet")
+    found = {(r.id, r.place): r.term for r in plan_packs.pay7_thesaurus(spark, str(tmp_path)).collect()}
+    assert len(found) == 80 and [found[0, p] for p in range(1, 5)] == ["w02", "w03", "w04", "w05"] and found[19, 1] == "w00"
