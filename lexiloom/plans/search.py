@@ -12,6 +12,8 @@ from lexiloom.session import durable
 
 LIMIT = 30
 PREFIX_LENGTH = 3
+#: What the probe of an empty search counts to, and more than any list has.
+PROBE_LIMIT, EVERY = 9, 2**31 - 1
 
 
 def q2_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +137,35 @@ def q19_visit_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("visit_id", state.alias("state"), F.coalesce("_i", "_u", "_n").alias("entry_id"))
 
 
+def empty_probe(queries: DataFrame, entry: DataFrame, form: DataFrame, trans: DataFrame, definitions: DataFrame) -> DataFrame:
+    """``(query_id, n_definitions, n_other)`` of the queries that the whole cascade answers nothing in their language.
+
+    The definitions of their language that hold all their words, and what the whole cascade finds in each other language
+    for the uncut query, both counted to ``PROBE_LIMIT``. ``definitions`` has ``id, lang, words``. A query without text is
+    not probed.
+    """
+    queries = queries.select("query_id", "q", "q_lang", X.fuzzy(F.col("q"), F.col("q_lang")).alias("q_fuzzy")).filter("q <> ''")
+    # The cascade is empty where every rung is, so the dear last one is asked only for what the others left over.
+    cheap = S.prefix_rung(queries, entry, 1).unionByName(S.inflected_rung(queries, form, entry, 1)).unionByName(S.translation_rung(queries, trans, entry, 1))
+    left = durable(queries.join(cheap.select("query_id").distinct(), "query_id", "left_anti"))
+    empty = durable(left.join(S.fuzzy_rung(left, entry).select("query_id").distinct(), "query_id", "left_anti"))
+    langs = [r.lang for r in entry.select("lang").filter("lang IS NOT NULL").distinct().collect()]  # a row a language
+    each = empty.select("query_id", "q", "q_lang", F.explode(F.array(*map(F.lit, langs)).cast("array<string>")).alias("_l")).filter("_l <> q_lang")
+    asked = durable(each.select(F.struct("query_id", "_l").alias("query_id"), "q", F.col("_l").alias("q_lang"), X.fuzzy(F.col("q"), F.col("_l")).alias("q_fuzzy")))
+    rungs = [S.prefix_rung(asked, entry, PROBE_LIMIT), S.inflected_rung(asked, form, entry, PROBE_LIMIT), S.translation_rung(asked, trans, entry, PROBE_LIMIT), S.fuzzy_rung(asked, entry)]
+    other = S.cascade(rungs, PROBE_LIMIT).groupBy(F.col("query_id.query_id").alias("query_id")).agg(F.count("*").alias("n_other"))
+    index = durable(S.postings(definitions, "id", "words"))
+    # All that match are taken before the language is looked at, so that no other language's use up the limit.
+    held = S.bm25(empty, index, EVERY).join(definitions.select(F.col("id").alias("entry_id"), "lang"), "entry_id").join(empty.select("query_id", "q_lang"), "query_id")
+    defined = held.filter("q_lang IS NULL OR q_lang = lang").groupBy("query_id").agg(F.count("*").alias("n_definitions"))
+    capped = [F.least(F.coalesce(c, F.lit(0)), F.lit(PROBE_LIMIT)).cast("bigint").alias(c) for c in ("n_definitions", "n_other")]
+    return empty.select("query_id").join(defined, "query_id", "left").join(other, "query_id", "left").select("query_id", *capped)
+
+
 def q20_empty_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For queries without a result in their language: how many other languages have one, counted to nine."""
-    queries = pack.typo_queries(spark, sf_dir)
-    entry = pack.entry(spark, sf_dir)
-    own = S.prefix_rung(queries, entry, LIMIT).select("query_id").distinct()
-    empty = queries.join(own, "query_id", "left_anti").select("query_id", F.substring("q", 1, 4).alias("q"))
-    other = S.prefix_join(empty, "q", entry.select("id", "norm"), "norm").groupBy("query_id").agg(F.least(F.count("*"), F.lit(9)).alias("n_other"))
-    return empty.select("query_id").join(other, "query_id", "left").select("query_id", F.coalesce("n_other", F.lit(0)).cast("bigint").alias("n_other"))
+    """For queries without a result in their language: how many definitions and how many entries of other languages have one, counted to nine."""
+    definitions = pack.staging(spark, sf_dir).select("id", "lang", X.norm(F.col("fts_body")).alias("words"))
+    return empty_probe(pack.typo_queries(spark, sf_dir), durable(pack.entry(spark, sf_dir)), pack.form(spark, sf_dir), pack.trans(spark, sf_dir), definitions)
 
 
 _PREFIX_SQL = """

@@ -11,6 +11,7 @@ from lexiloom.functions import text as X
 from lexiloom.operators import discover, lexicon, ordered, packs, quality, rank, search, tiers
 from lexiloom.operators import payload as B
 from lexiloom.plans import packs as plan_packs
+from lexiloom.plans import search as plan_search
 from lexiloom.streaming import queries as stream
 
 # Own vectors, in the form (text, key).
@@ -356,3 +357,17 @@ def test_thesaurus_query_keeps_a_key_of_twenty_entries(spark, tmp_path):
     spark.createDataFrame([("w01", 0)], "norm string, entry_id bigint").write.parquet(f"{tmp_path}/form.parquet")
     found = {(r.id, r.place): r.term for r in plan_packs.pay7_thesaurus(spark, str(tmp_path)).collect()}
     assert len(found) == 80 and [found[0, p] for p in range(1, 5)] == ["w02", "w03", "w04", "w05"] and found[19, 1] == "w00"
+
+
+def test_empty_probe_asks_the_whole_cascade(spark):
+    """A form, a translation and a near spelling are answers; another language's prefix of four letters is none."""
+    entries = [(1, "es", "correr"), (2, "es", "perro"), (3, "es", "camino"), (4, "en", "library"), (5, "es", "libretaz"), (6, "fr", "librarian")] + [(10 + i, "en", f"zzzzzz{i:02}") for i in range(12)]
+    entry = spark.createDataFrame([(i, la, n, n, n, "noun", i) for i, la, n in entries], "id bigint, lang string, headword string, norm string, fuzzy string, pos string, rank int")
+    entry = entry.withColumn("fuzzy", X.fuzzy(F.col("norm"), F.col("lang")))
+    form, trans = spark.createDataFrame([("corriendo", 1), ("librar", 4)], "norm string, entry_id bigint"), spark.createDataFrame([("hound", 2), ("libraryx", 5)], "norm string, entry_id bigint")
+    asked = [(1, "corriendo", "es"), (2, "hound", "es"), (3, "camion", "es"), (4, "librray", "es"), (5, "zzzzzz", "es"), (6, "libreria", "el"), (7, "nada", "es"), (8, "", "es"), (9, "librarian", "es")]
+    queries = spark.createDataFrame(asked, "query_id bigint, q string, q_lang string").withColumn("q_fuzzy", F.lit("wrong"))
+    texts = [(1, "es", "nada de nada"), (2, "en", "nada"), (3, "es", "no hay zzzzzz")] + [(20 + i, "es", "librarian aqui") for i in range(11)]
+    definitions = spark.createDataFrame(texts, "id bigint, lang string, words string")
+    found = {r.query_id: (r.n_definitions, r.n_other) for r in plan_search.empty_probe(queries, entry, form, trans, definitions).collect()}
+    assert found == {4: (0, 1), 5: (1, 9), 6: (0, 1), 7: (1, 0), 9: (9, 1)}, found
