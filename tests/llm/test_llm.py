@@ -313,6 +313,26 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert right >= 0.95 * len(truth), (right, len(truth))
 
 
+def test_copies_of_a_garbled_text_teach_nothing(spark):
+    """A third of the rows are one text of cp1251 read as koi8-r."""
+    rng = random.Random(5)
+    words = "старых списках книги часто стояли рядом слова которые теперь никто уже не помнит однако человек читает их снова город вода дерево письмо".split()
+    clean = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(401)]
+    broken = "".join(mojibake.DECODE["koi8-r"][b] for b in clean[400].encode("cp1251"))
+    rows = list(enumerate(clean[:400])) + [(1000 + i, broken) for i in range(200)]
+    out = mojibake.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in out} == set(range(1000, 1200))
+    assert {r.restored for r in out} == {clean[400]}
+
+
+def test_training_is_screened_for_every_encoding():
+    text = "El niño comió después el pingüino"
+    for wrong in mojibake.ENCODINGS:
+        broken = "".join(mojibake.DECODE[wrong][b] for b in text.encode("utf-8"))
+        assert not mojibake.plainly_clean(broken), wrong
+    assert all(map(mojibake.plainly_clean, [text, "Новости ТВ и В СТАРЫХ СПИСКАХ", "Ο ΑΝΘΡΩΠΟΣ και η ζωή του"]))
+
+
 def test_garbled_in_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert mojibake.find_garbled(df).count() == 0
