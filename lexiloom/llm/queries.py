@@ -115,7 +115,7 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents garbled by a wrong decoding."""
-    return mojibake.find_garbled(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return mojibake.garbled_keys(table(spark, sf_dir, "documents")).select("doc_id")
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:

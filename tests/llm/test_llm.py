@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.llm import leakage, lookalikes, mojibake, packing, queries, sampling, term_counts, topn
-from lexiloom.session import ensure_checkpoint_dir
+from lexiloom.session import ensure_checkpoint_dir, table
 
 T0 = datetime(2025, 1, 1)
 
@@ -333,6 +333,51 @@ def test_training_is_screened_for_every_encoding():
     assert all(map(mojibake.plainly_clean, [text, "Новости ТВ и В СТАРЫХ СПИСКАХ", "Ο ΑΝΘΡΩΠΟΣ και η ζωή του"]))
 
 
+def test_scalar_and_array_readings_agree():
+    """Every outcome that is scored in arrays is what undoing the chain on the word gives."""
+    words = ["niÃ±o", "ÃƒÂ±", "ДНВСВСЦНМХЙ", "d‚j…", "«año»,", "ñ²", "ÐŸÑ€Ð¸Ð²ÐµÑ‚", "Ã\x83Â©x", "€20", "日本Ã©"]
+    some = mojibake.Words.of(words)
+    seen = defaultdict(dict)
+    for chain, at, symbols, starts in mojibake.readings(some):
+        ends = [*starts[1:], len(symbols)]
+        for i, a, b in zip(at, starts, ends):
+            seen[mojibake.chain_name(*chain)][words[i]] = symbols[a + 2 : b - 1].tolist()
+    assert len(seen) > 60
+    for chain, outcomes in seen.items():
+        for word, got in outcomes.items():
+            assert mojibake._shown_as(mojibake.Words.of([mojibake.read(word, chain)]).codes)[2:-1].tolist() == got, (chain, word)
+    assert mojibake.read("ÃƒÂ±", "cp1252>utf-8>cp1252>utf-8") == "ñ" and mojibake.read("niÃ±o", "cp1252>utf-8") == "niño"
+
+
+def test_pruning_by_the_bound_changes_no_verdict(spark, sf_dir):
+    learned = mojibake.learn(table(spark, sf_dir, "documents").filter("text IS NOT NULL"), "text")
+    words = [w for t in corpus(30) for w in t.split() if not w.isascii()]
+    words += [b for w in words[:60] for c in ("cp1252>utf-8", "cp437>cp1252") for b in [mojibake.garble(w, c)] if b]
+    all_gains, chains = mojibake.judge(learned.model, words, 0.0)
+    gains, kept = mojibake.judge(learned.model, words, 6.0)
+    assert [(g, c) if g > 6 else (0, "") for g, c in zip(all_gains, chains)] == list(zip(gains, kept))
+
+
+def test_recall_of_every_chain_on_held_out_texts(spark):
+    """Texts the models haven't seen, garbled whole by each chain: those in which at least three words change are found."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").filter("text IS NOT NULL AND text <> '' AND lang IS NOT NULL")
+    is_held = F.pmod(F.xxhash64("text"), F.lit(10)) == 0
+    learned = mojibake.learn(docs.filter(~is_held), "text")
+    clean = [r.text for r in docs.filter(is_held).select("text").distinct().orderBy("text").collect() if mojibake.plainly_clean(r.text)]
+    texts = [[w for w in dict.fromkeys(t.split()) if not w.isascii()][:12] for t in clean[::3]]
+    found, tried = Counter(), Counter()
+    for chain in mojibake.CHAINS[0 : len(mojibake.SINGLE) : 3] + ("cp1252>utf-8>cp1252>utf-8", "cp1252>utf-8>latin-1>utf-8", "mac_roman>utf-8>cp1252>utf-8", "cp1252>utf-8>cp437>cp1252"):
+        broken = [[b for w in words for b in [mojibake.garble(w, chain)] if b is not None and b != w] for words in texts]
+        broken = [words for words in broken if len(words) >= 3]
+        gains = iter(mojibake.judge(learned.model, [w for words in broken for w in words], learned.margin)[0])
+        tried[chain] = len(broken)
+        found[chain] = sum(max([next(gains) for _ in words]) > learned.margin for words in broken)
+    recall = {c: found[c] / n for c, n in tried.items() if n >= 5}
+    assert len(recall) > 40
+    weak = {c: round(r, 2) for c, r in recall.items() if r < 0.85}
+    assert not weak and sum(found.values()) > 0.95 * sum(tried.values()), weak
+
+
 def test_garbled_in_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert mojibake.find_garbled(df).count() == 0
