@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from lexiloom.session import durable
 
-#: Partitions of the stored counts; more for a larger vocabulary, so that one is a task's worth of rows.
-BUCKETS = 64
+#: Terms of one bucket of the stored counts: a task's worth of rows.
+TERMS_IN_BUCKET = 1_000_000
 COUNT_SCHEMA = "src_field string, term string, n_occurrences bigint, n_records bigint"
 
 
@@ -85,15 +85,45 @@ def signed_records(before: DataFrame, after: DataFrame, key: str = "frase_id", c
 
 
 class TermCounts:
-    """Counts of terms in a folder: a data folder a version and bucket, and a manifest that names the version of each bucket.
+    """Counts of terms in a folder that later sessions take up again.
 
-    ``apply`` rewrites only the buckets that a delivery touches; the manifest, a row a bucket, is written last, so a run
-    that is lost half-way leaves the old counts in force.
+    ``data/v=V/bucket=B`` holds the terms of a bucket as version V left them, ``manifest/v=V`` a row a bucket with the
+    version in force and the number of buckets. A version is in force once its manifest is complete, which is written last
+    (the success marker of its folder says so): a run that is lost before leaves the last complete version in force, and the
+    next run writes over what it left. ``apply`` rewrites only the buckets that a delivery touches.
+
+    ``buckets`` counts for a new folder only; by default there is one for each ``TERMS_IN_BUCKET`` terms of the first
+    delivery. ``rebucket`` changes it. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path, self.version, self.buckets = spark, path, 0, buckets
         self.manifest: dict[int, int] = {}
+        complete = [v for v in self._versions("manifest") if self._exists(f"{path}/manifest/v={v}/_SUCCESS")]
+        if complete:
+            self.version = max(complete)
+            rows = spark.read.schema("bucket int, version int, buckets int").parquet(f"{path}/manifest/v={self.version}").collect()  # a row a bucket
+            self.buckets = rows[0].buckets
+            self.manifest = {r.bucket: r.version for r in rows if r.bucket >= 0}
+
+    def _system(self, path: str):
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        folder, system = self._system(path)
+        return system.exists(folder)
+
+    def _numbered(self, path: str, name: str) -> list[int]:
+        """The numbers of the folders ``name=number`` in a folder."""
+        folder, system = self._system(path)
+        if not system.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in system.listStatus(folder)]
+        return [int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}=")]
+
+    def _versions(self, part: str) -> list[int]:
+        return self._numbered(f"{self.path}/{part}", "v")
 
     def counts(self) -> DataFrame:
         """``(src_field, term, n_occurrences, n_records)`` of all terms."""
@@ -105,35 +135,46 @@ class TermCounts:
             return self.spark.createDataFrame([], COUNT_SCHEMA)
         return self.spark.read.schema(COUNT_SCHEMA).parquet(*at)
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("src_field", "term"), F.lit(self.buckets)).cast("int")
-
-    def _written(self) -> set[int]:
-        """The buckets that the last version wrote, by a listing of its folder; one that lost all its terms has none."""
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/data/v={self.version}")
-        system = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in system.listStatus(folder)]
-        return {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
+    def _commit(self, kept: DataFrame, touched: list[int]) -> None:
+        """Writes the rows of the touched buckets as a new version and puts it in force."""
+        version = self.version + 1
+        # Several tasks share a bucket where there are fewer buckets than tasks; each then writes a file of it.
+        tasks = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        salt = F.pmod(F.shiftright(F.xxhash64("src_field", "term"), 40), F.lit(max(1, tasks // len(touched)))).cast("int")
+        spread = kept.withColumn("_salt", salt).repartition(min(tasks, len(touched) * max(1, tasks // len(touched))), "bucket", "_salt").drop("_salt")
+        spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/v={version}")
+        # A bucket that lost all its terms has no folder.
+        written = self._numbered(f"{self.path}/data/v={version}", "bucket")
+        manifest = {b: v for b, v in self.manifest.items() if b not in set(touched)} | {b: version for b in written}
+        rows = [(b, v, self.buckets) for b, v in sorted(manifest.items())] or [(-1, 0, self.buckets)]
+        self.spark.createDataFrame(rows, "bucket int, version int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version}")
+        self.version, self.manifest = version, manifest
+
+    def _with_bucket(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("src_field", "term"), F.lit(self.buckets)).cast("int"))
 
     def apply(self, signed_terms: DataFrame) -> None:
         """Merges signed rows as ``term_rows`` gives them; terms whose counts come to nothing leave the table."""
-        delta = signed_terms.groupBy("src_field", "term").agg(F.sum("d_occurrences").alias("n_occurrences"), F.sum("d_records").alias("n_records"))
-        delta = durable(delta.filter("n_occurrences <> 0 OR n_records <> 0").withColumn("bucket", self._bucket()))
-        touched = sorted(r.bucket for r in delta.select("bucket").distinct().collect())  # at most a row a bucket
-        if not touched:
+        sums = [F.sum(f"d_{n}").alias(f"n_{n}") for n in ("occurrences", "records")]
+        some = "n_occurrences <> 0 OR n_records <> 0"
+        delta = durable(signed_terms.groupBy("src_field", "term").agg(*sums).filter(some))
+        if self.buckets is None:
+            self.buckets = max(1, -(-delta.count() // TERMS_IN_BUCKET))
+        delta = self._with_bucket(delta)
+        touched = list(range(self.buckets)) if not self.manifest else sorted(r.bucket for r in delta.select("bucket").distinct().collect())
+        if not touched or not self.manifest and delta.isEmpty():
             return
-        self.version += 1
-        known = self._read([b for b in touched if b in self.manifest])
-        stored = known.withColumn("bucket", self._bucket())
-        # Rows go to the task of their bucket once; the sums and the files of a bucket are then made where its rows are.
-        merged = stored.unionByName(delta).repartition("bucket").groupBy("bucket", "src_field", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
-        kept = merged.filter("n_occurrences <> 0 OR n_records <> 0")
-        kept.write.partitionBy("bucket").parquet(f"{self.path}/data/v={self.version}")
-        written = self._written()
-        self.manifest = {b: v for b, v in self.manifest.items() if b not in touched} | {b: self.version for b in written}
-        rows = sorted(self.manifest.items())
-        self.spark.createDataFrame(rows, "bucket int, version int").coalesce(1).write.parquet(f"{self.path}/manifest/v={self.version}")
+        if not self.manifest:
+            return self._commit(delta, touched)
+        stored = self._with_bucket(self._read([b for b in touched if b in self.manifest]))
+        merged = stored.unionByName(delta).groupBy("bucket", "src_field", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
+        self._commit(merged.filter(some), touched)
+
+    def rebucket(self, buckets: int) -> None:
+        """Rewrites the whole table in another number of buckets."""
+        before = durable(self.counts())
+        self.buckets, self.manifest = buckets, {}
+        self._commit(self._with_bucket(before), list(range(buckets)))
 
 
 def marked(counts: DataFrame, n_records: int, rare_below: int = 3, common_share: float = 0.05) -> DataFrame:

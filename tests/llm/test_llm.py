@@ -140,6 +140,32 @@ def test_signed_deltas_equal_a_recount(spark):
     assert {tuple(r) for r in store.counts().collect()} == brute_counts([r for i, r in enumerate(now) if i not in (0, 3)])
 
 
+@pytest.mark.parametrize("buckets", [None, 1, 7])
+def test_a_store_is_taken_up_again(spark, buckets):
+    """Two sessions, a run lost between data and manifest, deletions, another number of buckets: equal to a recount."""
+    path = f"{ensure_checkpoint_dir(spark)}/counts-{uuid.uuid4().hex}"
+    day1 = [(i, f"n{i % 3}", f"uno dos dos w{i} él", 0) for i in range(40)]
+    day2 = [(i, f"n{i % 4}", f"uno tres w{i}", 1) for i in range(10)] + [(99, None, "nuevo", 1)]
+    rows = lambda data: term_counts.latest_records(frases(spark, data))
+    terms = lambda df, sign=None: term_counts.term_rows(df, "frase_id", "frase.norm", "frase.texto", sign=sign)
+    term_counts.TermCounts(spark, path, buckets).apply(terms(rows(day1)))
+    store = term_counts.TermCounts(spark, path)
+    assert store.version == 1 and {tuple(r) for r in store.counts().collect()} == brute_counts([r[1:3] for r in day1])
+    moved = terms(term_counts.signed_records(rows(day1), rows(day2)), F.col("sign"))
+    # The run is lost after the data of version 2 and a part of its manifest are written.
+    spark.createDataFrame([("f", "x", 1, 1, 0)], term_counts.COUNT_SCHEMA + ", bucket int").write.partitionBy("bucket").parquet(f"{path}/data/v=2")
+    spark.createDataFrame([(0, 2, 1)], "bucket int, version int, buckets int").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/manifest/v=2")
+    again = term_counts.TermCounts(spark, path)
+    assert again.version == 1
+    again.apply(moved)
+    now = [r[1:3] for r in day2] + [r[1:3] for r in day1[10:]]
+    assert {tuple(r) for r in term_counts.TermCounts(spark, path).counts().collect()} == brute_counts(now)
+    last = term_counts.TermCounts(spark, path)
+    last.rebucket(3)
+    last.apply(terms(term_counts.signed_records(rows(day1[10:] + day2), rows([]), deletes=True), F.col("sign")))
+    assert term_counts.TermCounts(spark, path).counts().count() == 0 and term_counts.TermCounts(spark, path).buckets == 3
+
+
 def test_counts_of_nothing(spark):
     store = term_counts.TermCounts(spark, f"{ensure_checkpoint_dir(spark)}/counts-{uuid.uuid4().hex}")
     store.apply(term_counts.term_rows(term_counts.latest_records(frases(spark, [])), "frase_id", "a", "b"))
