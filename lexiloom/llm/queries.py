@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm import leakage, lookalikes, mojibake, packing, sampling, term_counts, topn
@@ -29,12 +29,28 @@ def p1_entry_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rows = table(spark, sf_dir, "entry").select(*SAMPLE_KEY, F.date_format("loaded_at", "yyyy-MM").alias("epoch"))
     last = rows.agg(F.max("epoch").alias("m")).collect()[0].m or ""
-    path = _shared_folder(spark, "ledger")
-    sampling.first_seen(rows.filter(F.col("epoch").isNull() | (F.col("epoch") < last)), SAMPLE_KEY, "epoch", ENTRY_RATES, 0.0).write.parquet(path)
-    rate = next((ENTRY_RATES[s] for s in sorted(ENTRY_RATES, reverse=True) if last >= s), 0.0)
-    ledger = spark.read.parquet(path)
-    sampling.extend_ledger(ledger, rows.filter(F.col("epoch") == last), SAMPLE_KEY, last, rate).write.mode("append").parquet(path)
-    return sampling.choose(spark.read.parquet(path), SAMPLE_KEY).select(*SAMPLE_KEY, "first_epoch", "rate")
+    ledger = sampling.Ledger(spark, _shared_folder(spark, "ledger"), SAMPLE_KEY)
+    ledger.begin(rows.filter(F.col("epoch").isNull() | (F.col("epoch") < last)), "epoch", ENTRY_RATES, 0.0)
+    ledger.extend(rows.filter(F.col("epoch") == last), last, next((ENTRY_RATES[s] for s in sorted(ENTRY_RATES, reverse=True) if last >= s), 0.0))
+    return sampling.choose(ledger.records(), SAMPLE_KEY).select(*SAMPLE_KEY, "first_epoch", "rate")
+
+
+def p1_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any right sample holds to: no record twice, every chosen one in the table, and shares near the rates, by first epoch.
+
+    ``share_off`` tells whether the share of an epoch with at least 200 records is further from its rate than five
+    standard deviations.
+    """
+    chosen = p1_entry_sample(spark, sf_dir).withColumn("_c", F.lit(1))
+    firsts = sampling.first_seen(table(spark, sf_dir, "entry").select(*SAMPLE_KEY, F.date_format("loaded_at", "yyyy-MM").alias("epoch")), SAMPLE_KEY, "epoch", ENTRY_RATES, 0.0)
+    on = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in SAMPLE_KEY]
+    both = firsts.alias("f").join(chosen.alias("s"), on[0] & on[1], "full_outer")
+    sums = both.groupBy(F.coalesce("f.first_epoch", "s.first_epoch").alias("first_epoch")).agg(
+        F.count("f.rate").alias("n_records"), F.count("_c").alias("_n"), F.count_distinct("s.uid", "s.headword").alias("_d"),
+        F.sum(F.when(F.col("f.rate").isNull() | (F.col("f.rate") != F.col("s.rate")), 1).otherwise(0)).alias("n_wrong"), F.max("f.rate").alias("_r"),
+    )
+    off = F.abs(F.col("_n") - F.col("n_records") * F.col("_r")) > 5 * F.sqrt(F.col("n_records") * F.col("_r") * (1 - F.col("_r")))
+    return sums.select("first_epoch", "n_records", (F.col("_n") - F.col("_d")).alias("n_twice"), "n_wrong", (off & (F.col("n_records") >= 200)).alias("share_off"))
 
 
 def p1_snapshot_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +118,32 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any right packing holds to, over all containers: nothing above capacity or overlapping, no token lost or twice, few containers.
+
+    ``n_cut_short`` counts texts that are cut although they fit; ``wasteful`` is true if the containers are more than one
+    in a hundred above the least number that holds the tokens.
+    """
+    capacity = 2048
+    packed = packing.pack(table(spark, sf_dir, "documents"), capacity=capacity)
+    held = packed.filter("n_tokens > 0")
+    before = F.max(F.col("container_offset") + F.col("n_tokens")).over(Window.partitionBy("container_id").orderBy("container_offset").rowsBetween(Window.unboundedPreceding, -1))
+    boxes = held.withColumn("_overlap", (F.coalesce(before, F.lit(0)) > F.col("container_offset")).cast("int")).groupBy("container_id").agg(
+        F.sum("n_tokens").alias("_n"), F.max(F.col("container_offset") + F.col("n_tokens")).alias("_end"), F.sum("_overlap").alias("_o")
+    )
+    of_boxes = boxes.agg(
+        F.sum(((F.col("_n") > capacity) | (F.col("_end") > capacity)).cast("int")).alias("n_overfull"), F.sum("_o").alias("n_overlaps"),
+        (F.count("*") > 1 + 1.01 * F.ceil(F.sum("_n") / capacity)).alias("wasteful"),
+    )
+    texts = packed.groupBy("doc_id").agg(F.count("*").alias("_p"), F.sum("n_tokens").alias("_n"), F.max("token_to").alias("_to"))
+    of_texts = texts.agg(
+        F.count("*").alias("n_texts"), F.sum((F.col("_n") != F.col("_to")).cast("int")).alias("n_with_lost_tokens"),
+        F.sum(((F.col("_p") > 1) & (F.col("_n") <= capacity)).cast("int")).alias("n_cut_short"),
+    )
+    both = of_boxes.withColumn("_k", F.lit(1)).join(of_texts.withColumn("_k", F.lit(1)), "_k")  # one row each
+    return both.select("n_texts", "n_overfull", "n_overlaps", "wasteful", "n_with_lost_tokens", "n_cut_short")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold twelve consecutive words of a test item."""
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
@@ -165,10 +207,16 @@ WITH shown AS (
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_entry_sample, p1_snapshot_sample, p2_found, p2_forms, p5_found, p5_counts, p6_found, p8_packed, p9_found, p9_items, p10_found, p10_restored)
+    for f in (p1_entry_sample, p1_snapshot_sample, p1_invariants, p2_found, p2_forms, p5_found, p5_counts, p6_found, p8_packed, p8_invariants, p9_found, p9_items, p10_found, p10_restored)
 }
 
 ORACLES = {
+    "p1_invariants": """
+SELECT first_epoch, count(*) AS n_records, CAST(0 AS BIGINT) AS n_twice, CAST(0 AS BIGINT) AS n_wrong, false AS share_off
+FROM (SELECT uid, headword, min(strftime(loaded_at, '%Y-%m')) AS first_epoch FROM entry GROUP BY uid, headword) GROUP BY first_epoch""",
+    "p8_invariants": """
+SELECT count(DISTINCT doc_id) AS n_texts, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_overlaps, false AS wasteful,
+  CAST(0 AS BIGINT) AS n_with_lost_tokens, CAST(0 AS BIGINT) AS n_cut_short FROM documents""",
     "p2_found": _VALUES.format(h=_looks_like_sql("headword"), n=_looks_like_sql("norm"))
     + "SELECT a.src_field, a.v AS value_a, b.v AS value_b FROM shown a JOIN shown b ON a.src_field = b.src_field AND a.look = b.look AND a.v < b.v",
     "p5_found": _P5

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the published generator Threefry-2x32 (20 rounds): rotations, key parity constant.
 ROTATIONS = (13, 15, 26, 6, 17, 29, 16, 24)
@@ -102,6 +103,40 @@ def extend_ledger(ledger: DataFrame, batch: DataFrame, identifiers: Sequence[str
     return fresh.join(held, same, "left_anti").select(*identifiers, F.lit(epoch).alias("first_epoch"), F.lit(float(rate)).alias("rate"))
 
 
+class Ledger:
+    """A ledger in a folder, one subfolder a delivery; a delivery that is run again writes over its own subfolder only.
+
+    So a retry, also in another session and after later deliveries, adds nothing twice and changes no other record.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, identifiers: Sequence[str]):
+        self.spark, self.path, self.identifiers = spark, path, list(identifiers)
+
+    def _schema(self, df: DataFrame) -> T.StructType:
+        ids = [T.StructField(c, df.schema[c].dataType) for c in self.identifiers]
+        return T.StructType([*ids, T.StructField("first_epoch", T.StringType()), T.StructField("rate", T.DoubleType()), T.StructField("delivery", T.StringType())])
+
+    def begin(self, history: DataFrame, epoch: str, rates: Mapping[str, float], default: float) -> None:
+        """The first delivery: a whole history, each record with the rate of its first epoch."""
+        self._write(first_seen(history, self.identifiers, epoch, rates, default), "history")
+
+    def extend(self, batch: DataFrame, epoch: str, rate: float) -> None:
+        """A later delivery: its records that no other delivery holds, with its epoch and rate."""
+        others = self.spark.read.schema(self._schema(batch)).parquet(self.path).filter(F.col("delivery") != self._name(epoch))
+        self._write(extend_ledger(others, batch, self.identifiers, epoch, rate), self._name(epoch))
+
+    def records(self) -> DataFrame:
+        """``(*identifiers, first_epoch, rate)`` of every record."""
+        return self.spark.read.parquet(self.path).select(*self.identifiers, "first_epoch", "rate")
+
+    @staticmethod
+    def _name(epoch: str) -> str:
+        return f"epoch {epoch}"
+
+    def _write(self, rows: DataFrame, delivery: str) -> None:
+        rows.withColumn("first_epoch", F.col("first_epoch").cast("string")).write.mode("overwrite").parquet(f"{self.path}/delivery={delivery}")
+
+
 def choose(ledger: DataFrame, identifiers: Sequence[str], seed: int = 0) -> DataFrame:
     """The chosen records of a ledger, with ``first_epoch``, ``rate`` and ``draw``: a narrow step without shuffle."""
     return with_draw(ledger, identifiers, seed).filter(F.col("draw") < F.col("rate"))

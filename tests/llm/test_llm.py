@@ -55,6 +55,20 @@ def test_sample_is_stable_and_grows(spark):
     assert chosen(sampling.choose(whole, ids)) == b
 
 
+def test_a_delivery_that_is_run_again_adds_nothing(spark):
+    """Each step with a ledger opened anew, as in another session."""
+    ids, path = ["uid", "headword"], f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    opened = lambda: sampling.Ledger(spark, path, ids)
+    opened().begin(people(spark, 500), "epoch", {"2025-01": 0.3}, 0.0)
+    first = chosen(sampling.choose(opened().records(), ids))
+    for epoch, n in (("2025-02", 900), ("2025-02", 900), ("2025-03", 1200), ("2025-02", 900)):
+        opened().extend(people(spark, n, epoch), epoch, 0.1)
+    records = opened().records()
+    assert records.count() == records.select(*ids).distinct().count() == 1200
+    assert {r.first_epoch: r["count"] for r in records.groupBy("first_epoch").count().collect()} == {"2025-01": 500, "2025-02": 400, "2025-03": 300}
+    assert first <= chosen(sampling.choose(records, ids))
+
+
 def test_sample_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, None, "2025-01"), (None, "a", "2025-01"), (1, None, None)], "uid bigint, headword string, epoch string")
     ledger = sampling.first_seen(df, ["uid", "headword"], "epoch", {"2025-01": 1.0}, 1.0)
