@@ -1,20 +1,24 @@
 """Deeply nested dictionary records as related flat tables.
 
-Each JSON text is walked once, bottom-up, by a tree automaton: every value gets a state (its shape) from its own kind and
-the states of its members, and the pair of state and place in the parent decides the variant the value is stored as. The
-variants are routed to typed tables; a supertype table keeps the key, place and parent link that all of them share.
+Each JSON text is parsed once and walked bottom-up by a tree automaton: every value gets a state from its own kind and the
+states of its members, and the state decides the variant it is stored as. Each variant of each kind is routed to a typed
+table of its own; the keys, places and parent links they all share make up the supertype.
 """
 
 from __future__ import annotations
 
 import json
+import sys
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiloom.session import ensure_checkpoint_dir
+
 #: The grammar: kind of node -> its nested arrays, as field -> kind of their members.
 GRAMMAR: dict[str, dict[str, str]] = {
     "record": {"forms": "form", "senses": "sense"},
@@ -26,21 +30,26 @@ GRAMMAR: dict[str, dict[str, str]] = {
     "tag": {},
 }
 #: The field of an object that holds its text, by kind.
-TEXT_FIELD = {"form": "form", "example": "text", "synonym": "word", "gloss": "text", "tag": "name", "sense": "gloss"}
+TEXT_FIELD = {"record": "word", "form": "form", "example": "text", "synonym": "word", "gloss": "text", "tag": "name", "sense": "gloss"}
+#: Further fields of objects that have a column of their own; all others are kept together as JSON in ``extra``.
+TYPED_FIELDS = {"record": ("pos", "lang", "lang_code"), "form": ("roman",), "example": ("ref", "type"), "synonym": ("sense",), "sense": ("id",), "gloss": (), "tag": ()}
+#: The variants an automaton's state can end in. Objects: ``leaf`` without nested nodes, ``branch`` with some, ``loose`` with a
+#: lone value in the place of a nested array. Others: ``text`` for a bare value, ``list`` for an array inside an array.
+VARIANTS = {kind: ("leaf", "branch", "loose") if kind == "record" else ("leaf", "branch", "loose", "text", "list") if GRAMMAR[kind] else ("leaf", "text", "list") for kind in GRAMMAR}
 
 NODE_FIELDS = {
     "node_path": T.StringType(), "parent_path": T.StringType(), "kind": T.StringType(), "variant": T.StringType(), "place": T.IntegerType(),
-    "depth": T.IntegerType(), "text": T.StringType(), "ref": T.StringType(), "extra": T.StringType(),
+    "depth": T.IntegerType(), "text": T.StringType(), "fields": T.StringType(),
 }
 #: Rows of one Arrow batch that leaves the parser.
 BATCH_NODES = 20_000
+ROOT = ""
 
 
-def classify(value: object, kind: str, states: dict[str, str]) -> str | None:
+def classify(value: object, states: dict[str, str]) -> str | None:
     """The automaton's transition: the variant of a value, from its own shape and the states of its arrays.
 
-    ``None`` for what is no node (null, blank text); ``text`` for a bare scalar; for an object ``leaf`` if it has no
-    nested nodes, ``branch`` if it has some, ``loose`` if one of its nested places holds a lone value instead of an array.
+    ``None`` for what is no node: null, blank text.
     """
     if value is None or isinstance(value, str) and not value.strip():
         return None
@@ -53,6 +62,10 @@ def classify(value: object, kind: str, states: dict[str, str]) -> str | None:
     return "branch" if "some" in states.values() else "leaf"
 
 
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
 def _scalar(value: object) -> str | None:
     if value is None or isinstance(value, str):
         return value
@@ -60,19 +73,31 @@ def _scalar(value: object) -> str | None:
 
 
 def record_nodes(text: str | None) -> list[tuple]:
-    """All nodes of one JSON text, children after their parents; empty if it is no complete JSON object."""
+    """All nodes of one JSON text, the record first and children after their parents; empty if it is no complete JSON object."""
     if text is None:
         return []
+    sys.set_int_max_str_digits(0)  # an integer of any length is a number
     try:
-        record = json.loads(text)
+        record = json.loads(text, parse_constant=_no_number)
     except (ValueError, RecursionError):
         return []
-    out: list[tuple] = []
-    if isinstance(record, dict):
-        _walk(record, "record", "", 0, out)
+    if not isinstance(record, dict):
+        return []
+    out: list[tuple] = [()]
+    states = _walk(record, "record", ROOT, 0, out)
+    out[0] = (ROOT, None, "record", classify(record, states), 0, 0, *_contents(record, "record"))
     return out
 
 
+def _contents(value: object, kind: str) -> tuple[str | None, str | None]:
+    """``(text, other fields as JSON)`` of a node; what is stored as nodes of its own is left out, all else is kept."""
+    if not isinstance(value, dict):
+        return _scalar(value), None
+    nested = GRAMMAR[kind]
+    rest = {k: v for k, v in value.items() if k not in nested and k != TEXT_FIELD[kind]}
+    return _scalar(value.get(TEXT_FIELD[kind])), json.dumps(rest, ensure_ascii=False, sort_keys=True) if rest else None
+
+
 def _walk(value: dict, kind: str, path: str, depth: int, out: list[tuple]) -> dict[str, str]:
     """Adds the nodes below ``value`` to ``out`` and gives the state of each of its nested places."""
     states: dict[str, str] = {}
@@ -86,19 +111,12 @@ def _walk(value: dict, kind: str, path: str, depth: int, out: list[tuple]) -> di
             node = f"{path}/{field}/{place}" if path else f"{field}/{place}"
             out.append(())  # the place of the node, before its children; its variant is known after them
             below = _walk(member, child_kind, node, depth + 1, out) if isinstance(member, dict) else {}
-            variant = classify(member, child_kind, below)
+            variant = classify(member, below)
             if variant is None:
                 del out[at:]
                 continue
             found = True
-            body = text = ref = None
-            if isinstance(member, dict):
-                text, ref = _scalar(member.get(TEXT_FIELD[child_kind])), _scalar(member.get("ref"))
-                rest = {k: v for k, v in member.items() if k not in GRAMMAR[child_kind] and k not in (TEXT_FIELD[child_kind], "ref")}
-                body = json.dumps(rest, ensure_ascii=False, sort_keys=True) if rest else None
-            else:
-                text = _scalar(member)
-            out[at] = (node, path or None, child_kind, variant, place, depth + 1, text, ref, body)
+            out[at] = (node, path, child_kind, variant, place, depth + 1, *_contents(member, child_kind))
         states[field] = "none" if not found else "lone" if lone else "some"
     return states
 
@@ -125,13 +143,14 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def node_table(df: DataFrame, key: str = "rec_id", text: str = "raw_json") -> DataFrame:
-    """The supertype table: one row for each distinct node of each record, with key, path, parent path, place and variant.
+    """One row for each distinct node of each record, the record itself (path ``""``) among them, all kinds in one frame.
 
     A record that is delivered again, written differently but with the same content, gives the same rows once. Null
     members and blank strings are no nodes but keep their place; any object is a node, also an empty one; a lone value
-    instead of an array is its member 0; a list inside an array is a node of variant ``list`` whose members aren't
-    followed. Texts that are null, cut off or no JSON object have no nodes. Columns of ``df`` other than the two named
-    are ignored. Nothing is grouped by record, so a record of any size is only ever one row of one task.
+    instead of an array is its member 0; a list inside an array is a node of variant ``list`` that keeps its members as
+    JSON. Texts that are null, cut off, no JSON object, or nested deeper than the parser can go (some thousand levels) have no nodes; ``NaN`` and ``Infinity`` are no JSON.
+    Columns of ``df`` other than the two named are ignored. Nothing is grouped by record, so a record of any size is only
+    ever one row of one task.
     """
     # Equal texts are parsed once; the parse is a narrow step whose rows leave Python as flat Arrow batches.
     texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter("_t IS NOT NULL").distinct()
@@ -139,25 +158,49 @@ def node_table(df: DataFrame, key: str = "rec_id", text: str = "raw_json") -> Da
     return texts.mapInArrow(_parse_batches, schema).distinct().withColumnRenamed("_k", key)
 
 
-def flat_tables(df: DataFrame, key: str = "rec_id", text: str = "raw_json") -> dict[str, DataFrame]:
-    """``node`` (the supertype) and a typed table for each kind: ``form sense gloss example synonym tag``.
+class VariantTables:
+    """The typed tables of a collection: one for each variant of each kind, routed to a folder of its own in one parse.
 
-    Every subtype row carries the key, ``node_path`` and ``parent_path`` of its supertype row, so children join to
-    parents on ``(key, parent_path) = (key, node_path)``. A tag's table also names the kind of its parent.
+    ``path/kind=K/variant=V`` holds the rows of a variant, so reading one reads nothing of the others; the whole folder is
+    the supertype. Children join to parents on ``(key, parent_path) = (key, node_path)``.
     """
-    nodes = node_table(df, key, text)
-    link = [key, "node_path", "parent_path", "place", "variant"]
-    of = lambda kind: nodes.filter(F.col("kind") == kind)
-    return {
-        "node": nodes,
-        "form": of("form").select(*link, F.col("text").alias("form"), "extra"),
-        "sense": of("sense").select(*link, F.col("text").alias("bare_gloss"), "extra"),
-        "gloss": of("gloss").select(*link, F.col("text").alias("gloss")),
-        "example": of("example").select(*link, F.col("text").alias("example"), "ref", "extra"),
-        "synonym": of("synonym").select(*link, F.col("text").alias("word"), "extra"),
-        "tag": of("tag").select(
-            *link,
-            F.col("text").alias("tag"),
-            F.when(F.col("parent_path").startswith("forms/"), "form").when(F.col("parent_path").contains("/examples/"), "example").when(F.col("parent_path").contains("/synonyms/"), "synonym").otherwise("sense").alias("parent_kind"),
-        ),
-    }
+
+    def __init__(self, df: DataFrame, path: str, key: str = "rec_id", text: str = "raw_json"):
+        self.spark, self.path, self.key = df.sparkSession, path, key
+        nodes = node_table(df, key, text)
+        self.schema = nodes.schema
+        nodes.write.mode("overwrite").partitionBy("kind", "variant").parquet(path)
+
+    def supertype(self) -> DataFrame:
+        """``(key, node_path, parent_path, kind, variant, place, depth)`` of every node."""
+        return self._all().select(self.key, "node_path", "parent_path", "kind", "variant", "place", "depth")
+
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def subtype(self, kind: str, variant: str) -> DataFrame:
+        """The typed table of a variant: the common keys, then the columns of its kind as far as the variant has them.
+
+        Bare values have a text only; objects have their typed fields and, in ``extra``, all other fields as JSON.
+        """
+        if variant not in VARIANTS[kind]:
+            raise ValueError(f"{kind} has no variant {variant}")
+        rows = self._all().filter((F.col("kind") == kind) & (F.col("variant") == variant))
+        own = [F.col("text").alias(TEXT_FIELD[kind])]
+        if variant not in ("text", "list"):
+            typed = TYPED_FIELDS[kind]
+            own += [F.get_json_object("fields", f"$.{name}").alias(name) for name in typed]
+            own.append(self._extra(typed))
+        return rows.select(self.key, "node_path", "parent_path", "place", *own)
+
+    @staticmethod
+    def _extra(typed: tuple[str, ...]) -> Column:
+        """The fields without a column, as a map of JSON texts; null if there is none."""
+        every = F.from_json("fields", "map<string,string>")
+        rest = F.map_filter(every, lambda name, _: ~name.isin(*typed)) if typed else every
+        return F.when(F.size(rest) > 0, rest).alias("extra")
+
+
+def variant_tables(df: DataFrame, key: str = "rec_id", text: str = "raw_json") -> VariantTables:
+    """``VariantTables`` in a new folder beside the checkpoints."""
+    return VariantTables(df, f"{ensure_checkpoint_dir(df.sparkSession)}/nested-{uuid.uuid4().hex}", key, text)

@@ -10,8 +10,8 @@ from lexiloom.session import durable
 #: A block of the run index holds two to this power ids: a reference is compared with the runs of its block only. Blocks
 #: are found by shifting, which is exact for every bigint, also negative ones.
 BLOCK_BITS = 6
-#: Lives of one id kept inside its run; ids with more are matched over days instead (see ``orphan_references``).
-LIVES_IN_RUN = 64
+#: Lives in one row of the run index; an id with more has further rows, each for a stretch of time.
+LIVES_IN_ROW = 64
 
 
 def merged_lives(parents: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -39,28 +39,29 @@ def merged_lives(parents: DataFrame, key: str, start: str, end: str) -> DataFram
     )
 
 
-def key_runs(lives: DataFrame) -> DataFrame:
-    """``(block, s, e, upto, first, lives)``: the runs of consecutive ids of each block that share the same lives.
+def key_runs(lives: DataFrame, lives_in_row: int = LIVES_IN_ROW) -> DataFrame:
+    """``(block, s, e, upto, since, until, lives)``: the runs of consecutive ids of each block that share the same lives.
 
-    A run holds the ids from ``s`` to ``e``; ``upto`` is the last id before the next run of the block (the last id of the
-    block for its last run), so that exactly one run is the one that starts at or before an id. ``first`` is when its ids first came.
-    An id with more than ``LIVES_IN_RUN`` lives is a run of its own with ``lives`` null; they are looked up by day instead.
+    A run holds the ids from ``s`` to ``e``, their lives at most ``lives_in_row`` a row: the first row of a run is in force at
+    any time before ``until``, a later one from ``since`` on (nulls: no bound). So at any time an id has exactly one row.
+    ``upto`` is for first rows the last id before the next run of the block (the last id of the block for its last run), so
+    that exactly one run starts at or before an id, and for later rows ``e``.
     """
-    counted = lives.withColumn("_n", F.count("*").over(Window.partitionBy("id")))
-    few = F.when(F.col("_n") <= LIVES_IN_RUN, F.struct("f", "t"))
-    per_id = counted.groupBy("id").agg(F.min("f").alias("first"), F.sort_array(F.collect_list(few)).alias("lives")).select(
-        F.shiftright("id", BLOCK_BITS).alias("block"), "id", "first", F.when(F.size("lives") > 0, F.col("lives")).alias("lives")
-    )
-    by_id = Window.partitionBy("block").orderBy("id")
-    same = (F.col("id") == F.lag("id").over(by_id) + 1) & F.col("lives").eqNullSafe(F.lag("lives").over(by_id)) & F.col("lives").isNotNull()
+    numbered = lives.withColumn("_c", F.floor((F.row_number().over(Window.partitionBy("id").orderBy("f")) - 1) / lives_in_row))
+    per_row = numbered.groupBy("id", "_c").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("lives"))
+    following = F.lead("lives").over(Window.partitionBy("id").orderBy("_c"))[0]["f"]
+    per_row = per_row.select(F.shiftright("id", BLOCK_BITS).alias("block"), "id", "_c", F.when(F.col("_c") > 0, F.col("lives")[0]["f"]).alias("since"), following.alias("until"), "lives")
+    by_id = Window.partitionBy("block", "_c").orderBy("id")
+    same = (F.col("id") == F.lag("id").over(by_id) + 1) & F.col("lives").eqNullSafe(F.lag("lives").over(by_id)) & F.col("until").eqNullSafe(F.lag("until").over(by_id))
     runs = (
-        per_id.withColumn("_new", F.when(same, 0).otherwise(1))
+        per_row.withColumn("_new", F.when(same, 0).otherwise(1))
         .withColumn("_run", F.sum("_new").over(by_id.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("block", "_run")
-        .agg(F.min("id").alias("s"), F.max("id").alias("e"), F.min("first").alias("first"), F.first("lives").alias("lives"))
+        .groupBy("block", "_c", "_run")
+        .agg(F.min("id").alias("s"), F.max("id").alias("e"), F.first("since").alias("since"), F.first("until").alias("until"), F.first("lives").alias("lives"))
     )
-    following = F.lead("s").over(Window.partitionBy("block").orderBy("s"))
-    return runs.select("block", "s", "e", F.coalesce(following - 1, F.shiftleft("block", BLOCK_BITS).bitwiseOR(F.lit(2**BLOCK_BITS - 1))).alias("upto"), "first", "lives")
+    next_run = F.lead("s").over(Window.partitionBy("block", "_c").orderBy("s"))
+    reach = F.coalesce(next_run - 1, F.shiftleft("block", BLOCK_BITS).bitwiseOR(F.lit(2**BLOCK_BITS - 1)))
+    return runs.select("block", "s", "e", F.when(F.col("_c") > 0, F.col("e")).otherwise(reach).alias("upto"), "since", "until", "lives")
 
 
 def orphan_references(
@@ -73,8 +74,7 @@ def orphan_references(
     if no life of that run holds its time. Runs are cut at block borders, so the as-of match is an equi-join on the block
     with the run's reach as residual, which at most one run meets; a block that holds a third of all references is split
     by the adaptive skew join, since the side that is split carries no state. The run index is written once. An id that
-    was removed and added again more than ``LIVES_IN_RUN`` times is matched exactly over the days of its lives, which are
-    disjoint; that path is planned only if the index holds such an id.
+    was removed and added again very often has several rows in it, of which the reference's time picks one.
 
     All columns of ``refs`` come back, plus ``orphan_reason``: ``never`` (no row of the parent has that id),
     ``before`` (it came only later) or ``removed``. Rows with a null key refer to nothing and are left out; a null time
@@ -87,19 +87,13 @@ def orphan_references(
     packed = refs.filter(F.col(ref_key).isNotNull()).select(
         F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(ref_key).cast("bigint").alias("_id"), F.col(ref_time).cast("timestamp_ntz").alias("_at")
     ).withColumn("_block", F.shiftright("_id", BLOCK_BITS))
-    asof = (packed["_block"] == runs["block"]) & (runs["s"] <= packed["_id"]) & (packed["_id"] <= runs["upto"])
-    matched = packed.join(runs, asof, "left").select("_row", "_id", "_at", "e", "first", "lives")
+    in_force = (runs["since"].isNull() | (runs["since"] <= packed["_at"])) & (
+        runs["until"].isNull() | (packed["_id"] > runs["e"]) | (runs["since"].isNull() & packed["_at"].isNull()) | (packed["_at"] < runs["until"])
+    )
+    asof = (packed["_block"] == runs["block"]) & (runs["s"] <= packed["_id"]) & (packed["_id"] <= runs["upto"]) & in_force
+    matched = packed.join(runs, asof, "left").select("_row", "_id", "_at", "e", "since", "lives")
     beyond = F.col("e").isNull() | (F.col("_id") > F.col("e"))
     live = F.coalesce(F.exists("lives", lambda x: (x["f"] <= F.col("_at")) & (x["t"].isNull() | (F.col("_at") < x["t"]))), F.lit(False))
-    reason = F.when(beyond, "never").when(F.col("_at") < F.col("first"), "before").otherwise("removed")
-    found = matched.filter(beyond | (F.col("lives").isNotNull() & ~live)).select("_row", reason.alias("_why"))
-    if not runs.filter("lives IS NULL").isEmpty():
-        many = lives.join(runs.filter("lives IS NULL").select(F.col("s").alias("id")), "id", "left_semi")
-        closed = many.filter("t IS NOT NULL").select("id", "f", "t", F.explode(F.sequence(F.to_date("f"), F.to_date("t"))).alias("day"))
-        still = many.filter("t IS NULL").select("id", "f")  # lives are merged, so an id has at most one of these
-        rest = matched.filter(~beyond & F.col("lives").isNull())
-        in_closed = (rest["_id"] == closed["id"]) & (F.to_date(rest["_at"]) == closed["day"]) & (closed["f"] <= rest["_at"]) & (rest["_at"] < closed["t"])
-        rest = rest.join(closed, in_closed, "left_anti")
-        rest = rest.join(still, (rest["_id"] == still["id"]) & (still["f"] <= rest["_at"]), "left_anti").select("_row", reason.alias("_why"))
-        found = found.unionByName(rest)
+    reason = F.when(beyond, "never").when(F.col("since").isNull() & (F.col("_at") < F.col("lives")[0]["f"]), "before").otherwise("removed")
+    found = matched.filter(beyond | ~live).select("_row", reason.alias("_why"))
     return found.select("_row.*", F.col("_why").alias("orphan_reason"))

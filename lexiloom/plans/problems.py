@@ -10,25 +10,34 @@ from lexiloom.session import table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every node of every record, by path."""
-    return nested.node_table(table(spark, sf_dir, "wikt_raw")).select("rec_id", "node_path").distinct()
+    """Every node below a record, by path, out of the tables the variants are routed to."""
+    nodes = nested.variant_tables(table(spark, sf_dir, "wikt_raw")).supertype()
+    return nodes.filter("kind <> 'record'").select("rec_id", "node_path").distinct()
 
 
 def p3_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of each flat table by kind of parent, with how many of them find their parent row through the link."""
-    tables = nested.flat_tables(table(spark, sf_dir, "wikt_raw"))
-    parents = tables["node"].select("rec_id", F.col("node_path").alias("parent_path"), F.lit(1).alias("_hit"))
-    children = None
-    for name in ("form", "sense", "gloss", "example", "synonym", "tag"):
-        rows = tables[name].select(F.lit(name).alias("flat_table"), "rec_id", "parent_path", "variant")
-        children = rows if children is None else children.unionByName(rows)
+    """Rows of each typed table, with how many of them find their parent's row through the link."""
+    tables = nested.variant_tables(table(spark, sf_dir, "wikt_raw"))
+    parents = tables.supertype().select("rec_id", F.col("node_path").alias("parent_path"), F.lit(1).alias("_hit"))
     return (
-        children.join(parents, ["rec_id", "parent_path"], "left")
-        .groupBy("flat_table", "variant")
+        tables.supertype().join(parents, ["rec_id", "parent_path"], "left")
+        .groupBy("kind", "variant")
         .agg(F.count("*").alias("n_rows"), F.count("parent_path").alias("n_with_parent"), F.count("_hit").alias("n_linked"))
     )
 
 
+def p3_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every node of the typed tables, read table by table."""
+    tables = nested.variant_tables(table(spark, sf_dir, "wikt_raw"))
+    out = None
+    for kind, variants in nested.VARIANTS.items():
+        for variant in variants:
+            if variant != "list":
+                rows = tables.subtype(kind, variant).select("rec_id", "node_path", F.lit(kind).alias("kind"), F.col(nested.TEXT_FIELD[kind]).alias("text"))
+                out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each snapshot added, removed and changed against the one before."""
     return snapshots.snapshot_changes(table(spark, sf_dir, "entry_snapshot"))
@@ -86,33 +95,49 @@ orphan AS (
 _MEMBERS = "CASE json_type({0}) WHEN 'ARRAY' THEN json_extract({0}, '$[*]') WHEN 'NULL' THEN [] ELSE [{0}] END"
 
 
-def _level(name: str, parent: str, held: str, path: str) -> str:
-    """A table of the nodes of one nested place: ``rec_id, node_path, m``. Null members and blank strings are no nodes."""
+def _level(name: str, parent: str, field: str, kind: str) -> str:
+    """A table of the nodes of one nested place. Null members and blank strings are no nodes."""
+    held = f"m -> '$.{field}'"
     members = _MEMBERS.format(held)
-    return f"""{name} AS (SELECT rec_id, concat({path}, CAST(place - 1 AS VARCHAR)) AS node_path, m FROM (
-  SELECT rec_id, node_path AS up, unnest({members}) AS m, generate_subscripts({members}, 1) AS place FROM {parent})
+    return f"""{name} AS (SELECT rec_id, up AS parent_path, concat(up, CASE WHEN up = '' THEN '' ELSE '/' END, '{field}/', CAST(place - 1 AS VARCHAR)) AS node_path, '{kind}' AS kind, lone, m FROM (
+  SELECT rec_id, node_path AS up, json_type({held}) <> 'ARRAY' AS lone, unnest({members}) AS m, generate_subscripts({members}, 1) AS place FROM {parent})
   WHERE json_type(m) <> 'NULL' AND NOT (json_type(m) = 'VARCHAR' AND trim(m ->> '$') = ''))"""
 
 
-def _p3_sql() -> str:
+def _p3_sql(last: str) -> str:
     places = [
-        ("forms", "record", "m -> '$.forms'", "'forms/'"), ("form_tags", "forms", "m -> '$.tags'", "up, '/tags/'"),
-        ("senses", "record", "m -> '$.senses'", "'senses/'"), ("glosses", "senses", "m -> '$.glosses'", "up, '/glosses/'"),
-        ("sense_tags", "senses", "m -> '$.tags'", "up, '/tags/'"), ("examples", "senses", "m -> '$.examples'", "up, '/examples/'"),
-        ("example_tags", "examples", "m -> '$.tags'", "up, '/tags/'"), ("synonyms", "senses", "m -> '$.synonyms'", "up, '/synonyms/'"),
-        ("synonym_tags", "synonyms", "m -> '$.tags'", "up, '/tags/'"),
+        ("forms", "record", "forms", "form"), ("form_tags", "forms", "tags", "tag"), ("sense", "record", "senses", "sense"), ("gloss", "sense", "glosses", "gloss"),
+        ("sense_tags", "sense", "tags", "tag"), ("example", "sense", "examples", "example"), ("example_tags", "example", "tags", "tag"),
+        ("synonym", "sense", "synonyms", "synonym"), ("synonym_tags", "synonym", "tags", "tag"),
     ]
     levels = ",\n".join(_level(*p) for p in places)
-    union = " UNION ".join(f"SELECT rec_id, node_path FROM {p[0]}" for p in places)
-    return f"""WITH record AS (SELECT DISTINCT rec_id, '' AS node_path, CAST(raw_json AS JSON) AS m FROM (SELECT * FROM wikt_raw WHERE json_valid(raw_json)) WHERE json_type(raw_json) = 'OBJECT'),
-{levels}
-{union}"""
+    union = " UNION ALL ".join(f"SELECT * FROM {p[0]}" for p in places)
+    return f"""WITH record AS (SELECT DISTINCT rec_id, CAST(NULL AS VARCHAR) AS parent_path, '' AS node_path, 'record' AS kind, false AS lone, CAST(raw_json AS JSON) AS m
+  FROM (SELECT * FROM wikt_raw WHERE json_valid(raw_json)) WHERE json_type(raw_json) = 'OBJECT'),
+{levels},
+node AS ({union})
+{last}"""
+
+
+_P3_TABLES = """, every AS (SELECT * FROM node UNION ALL SELECT * FROM record),
+below AS (SELECT rec_id, parent_path AS node_path, bool_or(lone) AS any_lone FROM node GROUP BY ALL),
+shaped AS (SELECT DISTINCT e.rec_id, e.node_path, e.parent_path, e.kind, CASE json_type(m) WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN
+    CASE WHEN any_lone THEN 'loose' WHEN any_lone IS NOT NULL THEN 'branch' ELSE 'leaf' END ELSE 'text' END AS variant
+  FROM every e LEFT JOIN below b ON e.rec_id = b.rec_id AND e.node_path = b.node_path)
+SELECT s.kind, s.variant, count(*) AS n_rows, count(s.parent_path) AS n_with_parent, count(p.node_path) AS n_linked
+FROM shaped s LEFT JOIN (SELECT DISTINCT rec_id, node_path FROM every) p ON s.rec_id = p.rec_id AND s.parent_path = p.node_path GROUP BY ALL"""
 
+_P3_CONTENTS = """, every AS (SELECT * FROM node UNION ALL SELECT * FROM record)
+SELECT DISTINCT rec_id, node_path, kind, CASE WHEN json_type(m) = 'OBJECT' THEN m ->> CASE kind WHEN 'record' THEN '$.word' WHEN 'form' THEN '$.form'
+  WHEN 'example' THEN '$.text' WHEN 'synonym' THEN '$.word' WHEN 'gloss' THEN '$.text' WHEN 'tag' THEN '$.name' ELSE '$.gloss' END ELSE m ->> '$' END AS text
+FROM every WHERE json_type(m) <> 'ARRAY'"""
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_tables, p4_found, p4_summary, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_tables, p3_contents, p4_found, p4_summary, p7_found, p7_report)}
 
 ORACLES = {
-    "p3_found": _p3_sql(),
+    "p3_found": _p3_sql("SELECT DISTINCT rec_id, node_path FROM node"),
+    "p3_tables": _p3_sql("") + _P3_TABLES,
+    "p3_contents": _p3_sql("") + _P3_CONTENTS,
     "p4_found": _P4 + "SELECT data_version, uid, change_kind FROM changes",
     "p4_summary": _P4 + "SELECT data_version, change_kind, count(*) AS n_uids FROM changes GROUP BY ALL",
     "p7_found": _P7 + "SELECT DISTINCT ref_table, norm, entry_id, strftime(loaded_at, '%Y-%m') AS load_month FROM orphan",

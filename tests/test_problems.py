@@ -4,6 +4,7 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import nested, orphans, snapshots
@@ -84,9 +85,14 @@ def test_orphans_against_brute_force(spark):
     assert spark_orphans(spark, refs, parents) == brute_orphans(refs, parents)
 
 
-def test_orphans_of_an_id_with_very_many_lives(spark):
-    parents = [(7, at(2 * n), at(2 * n + 1)) for n in range(orphans.LIVES_IN_RUN + 10)] + [(7, at(500), None), (8, at(0), None)]
-    refs = [(f"k{n}", 7, at(n)) for n in range(160)] + [("open", 7, at(600)), ("gap", 7, at(450)), ("early", 7, at(-5)), ("ok", 8, at(3))]
+@pytest.mark.parametrize("in_row", [1, 3, 64, 10**6])
+def test_orphans_of_an_id_with_very_many_lives(spark, monkeypatch, in_row):
+    """However many lives a row of the index holds, the rows found are the same."""
+    runs = orphans.key_runs
+    monkeypatch.setattr(orphans, "key_runs", lambda lives: runs(lives, in_row))
+    parents = [(7, at(2 * n), at(2 * n + 1)) for n in range(75)] + [(7, at(500), None), (8, at(0), None), (9, at(0), at(2)), (9, at(4), at(6)), (10, at(0), at(2)), (10, at(4), at(6))]
+    refs = [(f"k{n}", 7, at(n)) for n in range(160)] + [("open", 7, at(600)), ("gap", 7, at(450)), ("early", 7, at(-5)), ("ok", 8, at(3)), ("none", 7, None), ("eleven", 11, at(5)), ("six", 6, at(400))]
+    refs += [(f"m{n}", i, at(n)) for i in (9, 10) for n in range(-1, 9)]
     assert spark_orphans(spark, refs, parents) == brute_orphans(refs, parents)
 
 
@@ -113,7 +119,7 @@ RECORD = {
 
 def paths(spark, texts):
     df = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "rec_id bigint, kind string, raw_json string")
-    return {(r.rec_id, r.node_path) for r in nested.node_table(df).select("rec_id", "node_path").collect()}
+    return {(r.rec_id, r.node_path) for r in nested.variant_tables(df).supertype().filter("kind <> 'record'").select("rec_id", "node_path").collect()}
 
 
 def test_nested_places(spark):
@@ -131,20 +137,36 @@ def test_nested_texts_without_nodes(spark):
 
 def test_nested_repeats_links_and_variants(spark):
     df = spark.createDataFrame([(1, json.dumps(RECORD)), (1, json.dumps(RECORD, indent=2, sort_keys=True))], "rec_id bigint, raw_json string")
-    tables = nested.flat_tables(df)
-    nodes = tables["node"]
-    assert nodes.count() == nodes.select("node_path").distinct().count() == 13
-    parents = {r.node_path for r in nodes.collect()}
-    assert all(r.parent_path in parents for name in ("gloss", "example", "synonym", "tag") for r in tables[name].collect())
-    assert {r.node_path: r.variant for r in nodes.collect()}["senses/0"] == "loose"
-    assert {r.parent_kind for r in tables["tag"].collect()} == {"form", "sense", "example", "synonym"}
-    assert sum(tables[t].count() for t in tables if t != "node") == 13
+    tables = nested.variant_tables(df)
+    nodes = tables.supertype().collect()
+    assert len(nodes) == len({r.node_path for r in nodes}) == 14
+    parents = {r.node_path for r in nodes}
+    assert all(r.parent_path in parents for r in nodes if r.kind != "record")
+    assert {(r.node_path, r.variant) for r in nodes} >= {("", "loose"), ("senses/0", "loose"), ("forms/0", "branch"), ("forms/4", "leaf"), ("forms/2", "text"), ("senses/0/examples/0", "loose")}
+    held = {(k, v): tables.subtype(k, v).collect() for k, variants in nested.VARIANTS.items() for v in variants}
+    assert sorted((k, v, r.node_path) for (k, v), rows in held.items() for r in rows) == sorted((r.kind, r.variant, r.node_path) for r in nodes)
+    with pytest.raises(ValueError):
+        tables.subtype("record", "text")
+
+
+def test_nested_loses_no_field(spark):
+    record = {"word": "w", "pos": None, "lang": "L", "sounds": [{"ipa": "x"}], "forms": [{"form": "f", "roman": 3, "extra": {"a": [1]}}, ["in", ["list"]]], "senses": [{"glosses": [{"text": "g", "why": "so"}], "tags": [{"name": "t", "n": 1}], "id": "s1"}]}
+    texts = [json.dumps(record)[:-1] + ', "n": ' + "7" * 5000 + "}", '{"word": NaN, "forms": ["a"]}', '{"forms": [Infinity]}']
+    tables = nested.variant_tables(spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "rec_id bigint, raw_json string, kind string"))
+    one = lambda kind, variant: tables.subtype(kind, variant).collect()[0].asDict()
+    root = one("record", "branch")
+    assert (root["word"], root["pos"], root["lang"]) == ("w", None, "L") and json.loads(root["extra"]["sounds"]) == record["sounds"] and len(root["extra"]["n"]) == 5000
+    form = one("form", "leaf")
+    assert (form["form"], form["roman"], json.loads(form["extra"]["extra"])) == ("f", "3", {"a": [1]})
+    assert json.loads(one("form", "list")["form"]) == ["in", ["list"]]
+    assert one("gloss", "leaf")["extra"] == {"why": "so"} and one("tag", "leaf")["extra"] == {"n": "1"} and one("sense", "branch")["id"] == "s1"
+    assert {r.rec_id for r in tables.supertype().collect()} == {0}
 
 
 def test_nested_very_long_record(spark):
     big = json.dumps({"forms": [{"form": str(i), "tags": ["a"]} for i in range(30000)]})
     df = spark.createDataFrame([(1, big)], "rec_id bigint, raw_json string")
-    assert nested.node_table(df).agg(F.count("*")).collect()[0][0] == 60000
+    assert nested.node_table(df).agg(F.count("*")).collect()[0][0] == 60001
 
 
 def test_registered_queries_run(spark, sf_dir):
