@@ -24,8 +24,9 @@ from lexiloom.session import durable, spread
 
 WINDOW = 12
 SHINGLE = 5
-#: Item shingles that one pass over the corpus looks for, 8 bytes each in every worker. More items take more passes.
-PASS_SHINGLES = 4_000_000
+#: Bits of the filter that the corpus is read through, as a power of two: 16 MB in every worker, whatever the items. More item
+#: shingles let more of the corpus through to the join, which is exact.
+FILTER_BITS = 27
 
 _WORDS = re.compile(r"[^\W_]+")
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
@@ -93,11 +94,26 @@ def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
     return items.select(F.col(key), F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(cut, schema)
 
 
+def shingle_filter(windows: DataFrame, bits: int) -> np.ndarray:
+    """Which residues of a shingle's hash occur in the items, as ``2**bits`` bits: what reaches the driver is bounded by that."""
+    residue = F.pmod(F.col("hash"), F.lit(1 << bits))
+    words = (
+        windows.select(F.explode("hashes").alias("hash"))
+        .groupBy(F.shiftright(residue, 6).alias("at"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), residue.bitwiseAND(F.lit(63)).cast("int"))).alias("word"))
+        .toPandas()
+    )
+    out = np.zeros(max(1, (1 << bits) >> 6), dtype=np.int64)
+    out[words["at"].to_numpy(dtype=np.int64)] = words["word"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
 def corpus_hits(docs: DataFrame, key: str, text: str, wanted: np.ndarray) -> DataFrame:
     """``(_doc, hash, n, at_word, words)`` in one narrow pass over the corpus.
 
-    Rows without document count the documents of a batch that hold a wanted shingle (``n``). Rows with document are the
-    wanted shingles in a stretch of at least ``WINDOW - SHINGLE + 1`` consecutive ones, which every passage
+    ``wanted`` is a ``shingle_filter``; what passes it without being wanted meets no row of the join that follows. Rows
+    without document count the documents of a batch that hold such a shingle (``n``). Rows with document are the shingles
+    in a stretch of at least ``WINDOW - SHINGLE + 1`` consecutive ones, which every passage
     makes, with the words around them that a passage could reach and the place
     ``at_word`` of the shingle among these.
     """
@@ -107,6 +123,7 @@ def corpus_hits(docs: DataFrame, key: str, text: str, wanted: np.ndarray) -> Dat
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
+        mask = np.uint64(len(known) * 64 - 1)
         for batch in batches:
             key_type = batch.schema.field(0).type
             in_batch: list[np.ndarray] = []
@@ -121,10 +138,10 @@ def corpus_hits(docs: DataFrame, key: str, text: str, wanted: np.ndarray) -> Dat
             for k, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = plain_words(one)
                 hashes = shingles(words)
-                if not len(hashes) or not len(known):
+                if not len(hashes):
                     continue
-                place = np.searchsorted(known, hashes)
-                hit = known[np.minimum(place, len(known) - 1)] == hashes
+                residue = hashes.view(np.uint64) & mask
+                hit = (known[residue >> np.uint64(6)] >> (residue & np.uint64(63)) & np.uint64(1)).astype(bool)
                 if not hit.any():
                     continue
                 in_batch.append(np.unique(hashes[hit]))
@@ -150,20 +167,13 @@ def corpus_hits(docs: DataFrame, key: str, text: str, wanted: np.ndarray) -> Dat
 def leaked_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(doc_key, item_key, n_passages)``: each document with each item of which it holds a passage of ``WINDOW`` words.
 
-    ``n_passages`` is the number of different passages of the item found. The corpus is read once (once for each
-    ``PASS_SHINGLES`` item shingles); what the driver and the workers hold is that many hashes, whose number is counted
-    first. Documents and items with null key or text, and items of fewer words than a passage, give no rows; repeated
-    rows and several items with one text each give what they hold; other columns don't matter.
+    ``n_passages`` is the number of different passages of the item found. The corpus is read once for any number of items,
+    through a filter of fixed size. Documents and items with null key or text, and items of fewer words than a passage,
+    give no rows; repeated rows and several items with one text each give what they hold; other columns don't matter.
     """
     windows = durable(item_windows(items, item_key, item_text).filter("_item IS NOT NULL"))
-    passes = max(1, -(-windows.select(F.explode("hashes").alias("hash")).distinct().count() // PASS_SHINGLES))
-    found = None
-    for turn in range(passes):
-        # A passage belongs to the pass of its first shingle, and the pass looks for all shingles of its passages.
-        own = windows.filter(F.pmod(F.xxhash64(F.element_at("hashes", 1)), F.lit(passes)) == turn)
-        wanted = own.select(F.explode("hashes").alias("hash")).distinct().toPandas()["hash"].to_numpy(dtype=np.int64)
-        one = _verified(durable(corpus_hits(docs, doc_key, doc_text, np.sort(wanted))), own)
-        found = one if found is None else found.unionByName(one)
+    hits = durable(corpus_hits(docs, doc_key, doc_text, shingle_filter(windows, FILTER_BITS)))
+    found = _verified(hits, windows)
     return found.groupBy("_doc", "_item").agg(F.count_distinct("item_at").alias("n_passages")).select(F.col("_doc").alias(doc_key), F.col("_item").alias(item_key), "n_passages")
 
 
