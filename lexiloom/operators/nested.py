@@ -8,7 +8,6 @@ table of its own; the keys, places and parent links they all share make up the s
 from __future__ import annotations
 
 import json
-import sys
 import uuid
 from collections.abc import Iterator
 
@@ -62,6 +61,11 @@ def classify(value: object, states: dict[str, str]) -> str | None:
     return "branch" if "some" in states.values() else "leaf"
 
 
+def _whole(digits: str) -> int | str:
+    """An integer; one that is longer than JSON readers take keeps its digits as a text."""
+    return int(digits) if len(digits) < 500 else digits
+
+
 def _no_number(name: str) -> None:
     raise ValueError(f"{name} is no JSON")
 
@@ -76,9 +80,8 @@ def record_nodes(text: str | None) -> list[tuple]:
     """All nodes of one JSON text, the record first and children after their parents; empty if it is no complete JSON object."""
     if text is None:
         return []
-    sys.set_int_max_str_digits(0)  # an integer of any length is a number
     try:
-        record = json.loads(text, parse_constant=_no_number)
+        record = json.loads(text, parse_constant=_no_number, parse_int=_whole)
     except (ValueError, RecursionError):
         return []
     if not isinstance(record, dict):
