@@ -319,8 +319,7 @@ SELECT id, (SELECT count(DISTINCT f) FROM gloss g WHERE g.id = s.id) AS n_senses
     "pay6_fts_body": f"""{_WITH}, raw AS (SELECT id, unnest(string_split(body, chr(10))) AS l, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM pack_staging),
 good AS (SELECT id, i, l[1] AS tag, substr(l, 3) AS v, sum(CASE WHEN l[1] = 'S' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS sense FROM raw WHERE regexp_matches(l, '^.\\t.+'))
 SELECT id, string_agg(v, ' ' ORDER BY sense, CASE tag WHEN 'S' THEN 0 WHEN 'E' THEN 1 WHEN 'T' THEN 2 ELSE 3 END, i) AS fts_body FROM good WHERE sense > 0 AND tag IN ('S', 'E', 'T', 'Y') GROUP BY id""",
-    "pay7_thesaurus": f"""{_WITH}, small AS (SELECT norm AS key FROM pack_trans GROUP BY norm HAVING count(*) BETWEEN 2 AND 8),
-reach AS (SELECT key, entry_id FROM pack_trans JOIN small ON key = norm),
+    "pay7_thesaurus": f"""{_WITH}, reach AS (SELECT norm AS key, entry_id FROM pack_trans),
 single AS (SELECT id, norm FROM pack_staging WHERE len(regexp_extract_all(body, '(?m)^S\\t.')) = 1),
 pair AS (SELECT s.id, o.norm AS term, min(o.rank) AS r FROM reach a JOIN single s ON s.id = a.entry_id JOIN reach b ON b.key = a.key JOIN pack_staging o ON o.id = b.entry_id WHERE o.norm <> s.norm AND o.norm <> '' GROUP BY ALL)
 SELECT id, term, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r, term) AS place FROM pair p WHERE NOT EXISTS (SELECT 1 FROM pack_form f WHERE f.norm = p.term AND f.entry_id = p.id)) WHERE place <= 4""",

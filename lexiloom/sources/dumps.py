@@ -84,7 +84,7 @@ def word_groups(lines: DataFrame, order: str, word: str) -> DataFrame:
 def bilingual_terms(records: DataFrame, *keep: str) -> DataFrame:
     """``(*keep, term)``: the terms that the glosses of records in another language give, each once a record."""
     glosses = records.select(*keep, F.explode(F.transform("senses", lambda s: s["gloss"])).alias("_g"))
-    terms = glosses.select(*keep, R.gloss_terms_udf("_g").alias("_t"))
+    terms = glosses.select(*keep, R.gloss_terms(F.col("_g")).alias("_t"))
     return terms.select(*keep, F.explode("_t").alias("term")).distinct()
 
 

@@ -67,11 +67,13 @@ def test_inbound_and_examples(spark, wikt):
         ("J. R. R. Tolkien. El Señor de los Anillos. Página 3. 1954.", "es", "J. R. R. Tolkien. El Señor de los Anillos"),
         ("1897, Richard Marsh, The Beetle:", "en", "1897, Richard Marsh"),
         ("1901, “Of Men, and Mice”, X, Y", "en", "1901, “Of Men, and Mice”"),
-        ("", "es", None), (None, "en", None), ("Autor, Obra", "pt", None), ("solo:", "en", "solo"),
+        ("“Sin cerrar. Autor. Obra", "es", "Sin cerrar. Autor"), ("(X, Y", "en", "X, Y"), (". A. B. Pérez. Obra (t. 2. p. 31). Resto", "es", "A. B. Pérez. Obra (t. 2. p. 31)"),
+        ("Uno (a, b, c", "en", "Uno (a, b, c"), ("x" * 9000 + ", y, z", "en", "x" * 9000 + ", y"), ("   ", "en", None), ("", "es", None), (None, "en", None), ("Autor, Obra", "pt", None), ("solo:", "en", "solo"),
     ],
 )
-def test_citations(ref, lang, want):
-    assert R.citation(ref, lang) == want
+def test_citations(spark, ref, lang, want):
+    df = spark.createDataFrame([(ref, lang)], "ref string, lang string")
+    assert df.select(R.citation(F.col("ref"), F.col("lang")).alias("c")).collect()[0].c == want
 
 
 @pytest.mark.parametrize(
@@ -82,8 +84,10 @@ def test_citations(ref, lang, want):
         ("indicates possession", []), ("of the", []), ("", []), (None, []),
     ],
 )
-def test_gloss_terms(gloss, want):
-    assert R.gloss_terms(gloss) == want
+def test_gloss_terms(spark, gloss, want):
+    df = spark.createDataFrame([(gloss,)], "g string")
+    row = df.select(R.gloss_terms(F.col("g")).alias("t"), R.gloss_terms(F.col("g"), for_search=False).alias("shown")).collect()[0]
+    assert row.t == want and set(row.shown) <= set(want)
 
 
 def test_word_groups(spark):
