@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Scripts in the order in which a spelling is preferred.
-SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic", "Lisu")
 
 # Letters that share a glyph, as Latin, Cyrillic, Greek, Armenian member ("" where there is none),
 # then further characters of the same look. Taken from the public Unicode confusables, without those whose glyphs
@@ -72,15 +72,37 @@ CLASSES: tuple[tuple[str, str, str, str, str], ...] = (
     ("Y", "Ү", "Υ", "", ""),
     ("Z", "", "Ζ", "", ""),
     ("Æ", "Ӕ", "", "", ""),
+    ("F", "", "", "", ""),
+    ("R", "", "", "", ""),
     ("", "Г", "Γ", "", ""),
     ("", "П", "Π", "", ""),
     ("", "Ф", "Φ", "", ""),
 )
 
+# Letters of further scripts that share a glyph with the Latin letter after them.
+FURTHER = {
+    "Cherokee": "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ",
+    "Coptic": "ⲟo ⲞO ⲢP ⲣp ⲤC ⲥc ⲎH ⲒI ⲔK ⲘM ⲚN ⲦT ⲨY",
+    "Lisu": "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU",
+}
+#: Ranges of letters that are others side by side (ligatures, digraphs, Roman numerals) or one other (micro sign): they look as
+#: their compatibility decomposition. The ligatures with a long s and other symbol variants look different and stay out.
+SIDE_BY_SIDE = ((0xB5, 0xB5), (0x132, 0x133), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x2160, 0x217F), (0xFB00, 0xFB04))
+
+
+def _rows() -> tuple[tuple[str, ...], ...]:
+    """The classes over all scripts: a member for each of ``SCRIPTS``, then the further characters."""
+    member = {script: {pair[1]: pair[0] for pair in pairs.split()} for script, pairs in FURTHER.items()}
+    return tuple((*row[:4], *(member[s].get(row[0], "") for s in SCRIPTS[4:]), row[4]) for row in CLASSES)
+
+
+ROWS = _rows()
+_SHAPES = {chr(c): unicodedata.normalize("NFKC", chr(c)) for first, last in SIDE_BY_SIDE for c in range(first, last + 1)}
+
 # Signs that share a glyph with the first of their group.
 SIGNS = {"‐": "-", "‑": "-", "ʼ": "’", ";": ";", "·": "·", "․": "."}
 
-_CLASS_OF = {ch: row for row in CLASSES for part in row for ch in part}
+_CLASS_OF = {ch: row for row in ROWS for part in row for ch in part}
 #: Characters without a glyph besides those of category Cf: fillers, selectors, joiners.
 _SHOWS_NOTHING = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 _SPACES = re.compile(r"[^\S ]+|  +")
@@ -127,6 +149,8 @@ def _plain_char(ch: str) -> str:
     kind = unicodedata.category(ch)
     if ord(ch) in _SHOWS_NOTHING or kind == "Cf" or kind == "Cc" and not ch.isspace():
         return ""
+    if ch in _SHAPES:
+        return _SHAPES[ch]
     shape = unicodedata.decomposition(ch)
     return unicodedata.normalize("NFKC", ch) if shape.startswith(("<wide>", "<narrow>")) else ch
 
@@ -181,6 +205,17 @@ def distinct_values(columns: dict[str, DataFrame]) -> DataFrame:
     return with_consistent_form(rows.filter("value IS NOT NULL").distinct(), "value")
 
 
+def look_classes(values: DataFrame) -> DataFrame:
+    """``(src_field, value, consistent, n_values)``: each value that looks like another one of its field, with its class.
+
+    The class is the consistent form; ``n_values`` is how many different values share it. A row a value: the pairs of a class
+    are not made. ``values`` is what ``distinct_values`` gives; the sizes are sums of partial counts, so a form that very
+    many values share is no hot group before the join, which the adaptive skew join splits.
+    """
+    sizes = values.groupBy("src_field", "consistent").agg(F.count("*").alias("n_values")).filter("n_values > 1")
+    return values.join(sizes, ["src_field", "consistent"]).select("src_field", "value", "consistent", "n_values")
+
+
 def look_alike_pairs(values: DataFrame) -> DataFrame:
     """``(src_field, value_a, value_b)``: every pair of different values of a field with the same consistent form.
 

@@ -73,6 +73,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alike_pairs(_written_values(spark, sf_dir))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value that looks like another one of its field, with how many share its look."""
+    return lookalikes.look_classes(_written_values(spark, sf_dir)).select("src_field", "value", "n_values")
+
+
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent form of every value that is stored otherwise, with the kind of confusable it is."""
     changed = _written_values(spark, sf_dir).filter("value <> consistent")
@@ -171,7 +176,7 @@ def _literal(text: str) -> str:
 
 def _looks_like_sql(column: str) -> str:
     """The look of a value in SQL: the first member of each look-alike class, plain width and spaces, nothing invisible."""
-    pairs = {ch: next(m for m in row if m) for row in lookalikes.CLASSES for part in row for ch in part}
+    pairs = {ch: next(m for m in row if m) for row in lookalikes.ROWS for part in row for ch in part}
     pairs |= lookalikes.SIGNS | {chr(c): " " for c in (0xA0, 0x2007, 0x2009, 0x200A, 0x202F, 0x205F, 0x3000)}
     pairs |= {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFF5F)}
     pairs = {a: b for a, b in pairs.items() if a != b and len(b) == 1}
@@ -207,7 +212,7 @@ WITH shown AS (
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_entry_sample, p1_snapshot_sample, p1_invariants, p2_found, p2_forms, p5_found, p5_counts, p6_found, p8_packed, p8_invariants, p9_found, p9_items, p10_found, p10_restored)
+    for f in (p1_entry_sample, p1_snapshot_sample, p1_invariants, p2_found, p2_classes, p2_forms, p5_found, p5_counts, p6_found, p8_packed, p8_invariants, p9_found, p9_items, p10_found, p10_restored)
 }
 
 ORACLES = {
@@ -219,6 +224,8 @@ SELECT count(DISTINCT doc_id) AS n_texts, CAST(0 AS BIGINT) AS n_overfull, CAST(
   CAST(0 AS BIGINT) AS n_with_lost_tokens, CAST(0 AS BIGINT) AS n_cut_short FROM documents""",
     "p2_found": _VALUES.format(h=_looks_like_sql("headword"), n=_looks_like_sql("norm"))
     + "SELECT a.src_field, a.v AS value_a, b.v AS value_b FROM shown a JOIN shown b ON a.src_field = b.src_field AND a.look = b.look AND a.v < b.v",
+    "p2_classes": _VALUES.format(h=_looks_like_sql("headword"), n=_looks_like_sql("norm"))
+    + "SELECT src_field, v AS value, n_values FROM (SELECT *, count(*) OVER (PARTITION BY src_field, look) AS n_values FROM shown) WHERE n_values > 1",
     "p5_found": _P5
     + """SELECT src_field, term, CASE WHEN n_records < 3 THEN 'rare' ELSE 'common' END AS mark
 FROM counted WHERE n_records < 3 OR n_records > 0.05 * (SELECT count(*) FROM latest)""",

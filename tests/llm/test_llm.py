@@ -82,7 +82,7 @@ def test_sample_nulls_and_empty(spark):
 SAME = [
     ("paypal", "рауpal"), ("ｆｕｌｌ", "full"), ("café", "café"), ("a​b", "ab"), ("de x", "de x"), ("de　x", "de x"),
     ("ɑ́b", "áb"), ("со-ор", "co-op"), ("vⅼa", "vla"), ("кот и рак", "кoт и рaк"), ("ＡＢ２", "AB2"), ("bo⁠̃", "bõ"), ("νο", "vo"), ("օо", "oo"),
-    ("self‑made", "self-made"), ("щожｙ", "щожу"), ("а́", "á"),
+    ("µm", "μm"), ("ﬁn", "fin"), ("ǆ", "dž"), ("Ⅳ", "IV"), ("ⅱ", "ii"), ("ᎪᏴ", "AB"), ("cⲟp", "cop"), ("ꓐꓳꓬ", "BOY"), ("ĳs", "ijs"), ("self‑made", "self-made"), ("щожｙ", "щожу"), ("а́", "á"),
 ]
 APART = [("cafe", "café"), ("Cafe", "cafe"), ("x²", "x2"), ("a-b", "a b"), ("a'b", "ab"), ("l", "I"), ("0", "O"), ("nn", "m"), ("но", "ho"), ("α", "a"), ("ab", "a b"), ("и", "й")]
 
@@ -96,13 +96,13 @@ def test_look_alikes_and_different_looks():
 
 def test_consistent_form_properties():
     rng = random.Random(3)
-    pool = "".join("".join(r) for r in lookalikes.CLASSES) + "бжф βψ́​-  ²9ｚ"
+    pool = "".join("".join(r) for r in lookalikes.ROWS) + "бжф βψ́​-  ²9ｚ"
     for _ in range(2000):
         text = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))
         once = lookalikes.consistent_form(text)
         assert lookalikes.consistent_form(once) == once
     assert lookalikes.consistent_form(None) is None and lookalikes.consistent_form("​") == ""
-    for row in lookalikes.CLASSES:
+    for row in lookalikes.ROWS:
         members = [c for part in row for c in part]
         assert len({lookalikes.consistent_form(c) for c in members}) == 1, row
     assert lookalikes.consistent_form("рауэ") == "рауэ" and lookalikes.consistent_form("paуэ") == "рауэ"
@@ -116,6 +116,8 @@ def test_pairs(spark):
     same = sorted({"cop", "сор", "ｃｏｐ", "co​p"})
     want = {("entry.headword", a, b) for i, a in enumerate(same) for b in same[i + 1 :]}
     assert {tuple(r) for r in pairs.collect()} == want
+    classes = lookalikes.look_classes(lookalikes.distinct_values({"entry.headword": df.select("headword")})).collect()
+    assert {(r.value, r.n_values) for r in classes} == {(v, 4) for v in same} and len({r.consistent for r in classes}) == 1
 
 
 # 5: term counts
