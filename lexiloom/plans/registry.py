@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.plans import glosses, lexicon, packs, problems, search, sources, streams
+from lexiloom.plans import glosses, lexicon, packs, problems, readers, search, sources, streams
 
-_MODULES = (problems, lexicon, glosses, search, packs, sources, streams)
+_MODULES = (problems, lexicon, glosses, search, packs, sources, readers, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -32,9 +32,16 @@ def parsed_records(lines: DataFrame, text: str, keep: tuple[str, ...] = ()) -> D
 
 
 def inbound_forms(records: DataFrame) -> DataFrame:
-    """``(lemma, forms)``: what form pages say about other words. A lemma with a comma in it is kept whole if the gloss ends in it."""
+    """``(lemma, forms)``: what form pages say about other words.
+
+    A dump cuts a lemma that holds a comma into several targets; where the gloss ends in all targets of a sense joined by
+    commas, they are one lemma again.
+    """
     pages = records.filter(R.is_form_page(F.col("r.senses"))).select(F.col("r.word").alias("form"), F.explode("r.senses").alias("s"))
-    targets = pages.select("form", F.explode(R.filled(F.transform(R.present(F.col("s.form_of")), lambda w: w["word"]))).alias("lemma"), F.element_at(F.coalesce("s.glosses", F.array(F.lit(""))), -1).alias("gloss"))
+    named = pages.select("form", R.filled(F.transform(R.present(F.col("s.form_of")), lambda w: w["word"])).alias("_l"), F.coalesce(F.try_element_at(R.filled(F.col("s.glosses")), F.lit(-1)), F.lit("")).alias("_g"))
+    whole = F.array_join("_l", ", ")
+    ends = (F.size("_l") > 1) & F.regexp_replace("_g", "[.:;\\s]+$", "").endswith(whole)
+    targets = named.select("form", F.explode(F.when(ends, F.array(whole)).otherwise(F.col("_l"))).alias("lemma"))
     return targets.filter("lemma <> form").groupBy("lemma").agg(F.array_sort(F.collect_set("form")).alias("forms"))
 
 
@@ -215,7 +222,7 @@ def required_words(spark: SparkSession, path: str, directive: str = "#! solo el
     lines = groups.select(F.transform(F.split("g", "\\n"), lambda x: F.trim(x)).alias("l"))
     at = F.array_position("l", directive)
     numbered = lines.select(F.posexplode("l").alias("i", "word"), at.alias("_at"))
-    return numbered.filter("word <> ''").filter(~F.col("word").startswith("#")).select("word", ~((F.col("_at") > 0) & (F.col("i") + 1 > F.col("_at"))).alias("every_tier"))
+    return numbered.filter("word <> ''").filter(~F.col("word").startswith("#")).select("word", (~((F.col("_at") > 0) & (F.col("i") + 1 > F.col("_at")))).alias("every_tier"))
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:

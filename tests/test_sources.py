@@ -56,6 +56,9 @@ def test_sense_numbers(spark):
 def test_inbound_and_examples(spark, wikt):
     found = dumps.inbound_forms(dumps.parsed_records(wikt, "raw")).collect()
     assert [(r.lemma, r.forms) for r in found] == [("casar", ["casas"])]
+    cut = [{"word": "vamos", "pos": "verb", "senses": [{"glosses": [g], "tags": ["form-of"], "form_of": [{"word": "bien"}, {"word": "mal"}]}]} for g in ("Forma de bien, mal.", "Forma de mal y bien")]
+    pages = spark.createDataFrame([(json.dumps(x),) for x in cut], "raw string")
+    assert {(r.lemma, tuple(r.forms)) for r in dumps.inbound_forms(dumps.parsed_records(pages, "raw")).collect()} == {("bien, mal", ("vamos",)), ("bien", ("vamos",)), ("mal", ("vamos",))}
     lines = [{"word": "a", "pos": "noun", "lang_code": "es", "senses": [{"glosses": ["g"], "examples": [{"text": "nota"}, {"text": "uso", "type": "example", "english": "use"}]}]}, {"word": "b", "lang_code": "es", "senses": [{}, {}]}]
     df = spark.createDataFrame([(json.dumps(x),) for x in lines], "raw string")
     assert [tuple(r) for r in dumps.single_sense_examples(df, "raw").collect()] == [("a", "noun", "uso")]
