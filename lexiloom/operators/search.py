@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import osa_distance_udf
+from lexiloom.session import durable
 
 PREFIX, INFLECTED, TRANSLATION, FUZZY, DEFINITION = range(5)
 #: Rows fetched for each row wanted, before rows of one headword and part of speech are made one.
@@ -22,6 +23,8 @@ FUZZY_PREFIX, FUZZY_CANDIDATES, FUZZY_RESULTS, FUZZY_DISTANCE = 4, 200, 10, 2
 #: Longest prefix that is used as a join key; the rest of a longer query is compared on the joined rows.
 KEY_LENGTH = 4
 BM25_K1, BM25_B = 1.2, 0.75
+#: Up to so many different queries, some ten MB, are given to every task of a definition search; more are joined.
+FEW_SETS = 50_000
 RESULT = ["query_id", "entry_id", "headword", "pos", "match_kind", "score"]
 
 
@@ -127,29 +130,48 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(queries: DataFrame, index: DataFrame, limit: int = 30) -> DataFrame:
+    """As ``bm25_texts``, over what ``postings`` gives."""
+    terms = F.flatten(F.collect_list(F.expr("array_repeat(term, CAST(tf AS INT))")))
+    return _bm25(queries, index.groupBy("entry_id").agg(F.first("n_terms").alias("n_terms"), terms.alias("_t")), limit)
+
+
+def bm25_texts(queries: DataFrame, docs: DataFrame, key: str, text: str, limit: int = 30) -> DataFrame:
     """``(query_id, entry_id, relevance, place)``: entries that hold all words of a query, the most relevant first.
 
-    ``index`` is what ``postings`` gives. Words that half of all entries hold, or more, weigh next to nothing but must
-    occur. Relevance is rounded to nine places, so that an order of addition doesn't decide a tie.
+    ``docs`` has a row an entry and is read several times; ``text`` is a ``norm`` key. Words that half of all entries hold,
+    or more, weigh next to nothing but must occur. Relevance is rounded to nine places, so that an order of addition
+    doesn't decide a tie.
+    """
+    terms = docs.select(F.col(key).alias("entry_id"), F.split(F.col(text), " ").alias("_t")).filter(F.element_at("_t", 1) != "")
+    return _bm25(queries, terms.select("entry_id", F.size("_t").alias("n_terms"), "_t"), limit)
+
+
+def _bm25(queries: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
+    """The search over ``(entry_id, n_terms, _t)``, ``_t`` being the words of an entry as often as they occur.
+
+    Queries of the same words have the same answer, which is found once for all of them. No text is shuffled for it unless
+    more than ``FEW_SETS`` different ones are asked.
     """
-    sizes = index.groupBy("entry_id").agg(F.first("n_terms").alias("n")).agg(F.count("*").alias("_N"), F.avg("n").alias("_avg"))
-    total = sizes.collect()[0]  # one row
-    words = queries.filter(F.length("q") > 0).select("query_id", F.explode(F.array_distinct(F.split("q", " "))).alias("term"))
-    wanted = words.groupBy("query_id").agg(F.count("*").alias("_words"))
-    df = index.groupBy("term").agg(F.count("*").alias("_df")).join(words.select("term").distinct(), "term", "left_semi")
-    idf = F.log((F.lit(total["_N"]) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-    length = F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("n_terms") / F.lit(total["_avg"] or 1.0))
-    part = weight * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + length)
-    # Only entries of a query's rarest word can hold all of its words, so a frequent word is never joined as a whole: it is
-    # looked up for those entries.
-    weighed = words.join(df, "term")
-    rarest = weighed.groupBy("query_id").agg(F.min(F.struct("_df", "term")).alias("_r")).select("query_id", F.col("_r.term").alias("term"))
-    candidates = rarest.join(index.select("term", "entry_id"), "term").select("query_id", "entry_id")
-    scored = candidates.join(weighed, "query_id").join(index, ["term", "entry_id"]).groupBy("query_id", "entry_id").agg(F.round(F.sum(part), 9).alias("relevance"), F.count("*").alias("_got"))
-    whole = scored.join(wanted, "query_id").filter("_got = _words")
-    top = _top(whole, limit, F.col("relevance").desc(), F.col("entry_id"), place="place")
-    return top.select("query_id", "entry_id", "relevance", (F.col("place") - 1).alias("place"))
+    total = texts.agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean")).collect()[0]  # one row
+    words = F.sort_array(F.array_distinct(F.split("q", " ")))
+    asked = queries.filter(F.length("q") > 0).select("query_id", F.array_join(words, " ").alias("_set"))
+    each = asked.select("_set").distinct().select("_set", F.explode(F.split("_set", " ")).alias("term"))
+    once = texts.select("entry_id", "n_terms", "_t", F.explode(F.array_distinct("_t")).alias("term"))
+    idf = F.log((F.lit(total["n"]) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    df = once.groupBy("term").agg(F.count("*").alias("_df")).withColumn("_weight", F.when(idf > 0, idf).otherwise(F.lit(1e-6)))
+    sets = each.join(df, "term", "left").groupBy("_set").agg(F.sort_array(F.collect_list(F.struct("_df", "term", "_weight"))).alias("_words"), F.count("_df").alias("_known"))
+    # Only entries of its rarest word can hold all words of a set, so a frequent word is looked up in those alone.
+    sets = durable(sets.filter("_known = size(_words)").select("_set", "_words", F.col("_words.term").alias("_terms"), F.col("_words")[0]["term"].alias("term")))
+    met = once.join(F.broadcast(sets) if sets.count() <= FEW_SETS else sets, "term").filter(F.size(F.array_intersect("_terms", "_t")) == F.size("_terms"))
+
+    def part(word: Column) -> Column:
+        tf = F.size(F.filter("_t", lambda t: t == word["term"]))
+        return word["_weight"] * tf * (BM25_K1 + 1) / (tf + F.lit(BM25_K1) * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("n_terms") / F.lit(total["mean"] or 1.0)))
+
+    scored = met.select("_set", "entry_id", F.round(F.aggregate("_words", F.lit(0.0), lambda sum_, word: sum_ + part(word)), 9).alias("relevance"))
+    per_set = Window.partitionBy("_set").orderBy(F.col("relevance").desc(), "entry_id")
+    top = scored.withColumn("place", F.row_number().over(per_set)).filter(F.col("place") <= limit)
+    return asked.join(top, "_set").select("query_id", "entry_id", "relevance", (F.col("place") - 1).alias("place"))
 
 
 def resolve(keys: DataFrame, form: DataFrame, entry: DataFrame, key: str = "norm") -> DataFrame:

@@ -61,9 +61,9 @@ def _definition_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q6_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions by their words: queries are two words of the definition of every entry whose id is divisible by 20."""
-    words = F.split(X.norm(F.col("fts_body")), " ")
-    queries = pack.staging(spark, sf_dir).filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(words, -2, 2), " ").alias("q")).filter(F.size(F.split("q", " ")) == 2)
-    return S.bm25(queries, durable(_definition_index(spark, sf_dir)), LIMIT)
+    texts = durable(pack.staging(spark, sf_dir).select("id", X.norm(F.col("fts_body")).alias("words")))
+    queries = texts.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(F.split("words", " "), -2, 2), " ").alias("q")).filter(F.size(F.split("q", " ")) == 2)
+    return S.bm25_texts(queries, texts, "id", "words", LIMIT)
 
 
 def agg26_bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

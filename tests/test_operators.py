@@ -140,6 +140,32 @@ def test_bm25_needs_every_word_and_favours_short_texts(spark):
     assert {r.query_id for r in rows} == {"a", "b"}
 
 
+def _most_rows(df) -> int:
+    """The most rows that a step of the plan of ``df`` gives when it runs."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+    return most
+
+
+def test_bm25_answers_equal_queries_once(spark):
+    """Rows between are no product of queries and entries, and each of the equal queries has its whole list."""
+    docs = spark.range(200).selectExpr("id", "CASE WHEN id < 150 THEN concat('red fox', repeat(' den', CAST(id % 7 AS INT))) ELSE 'blue den' END AS t")
+    queries = spark.range(400).selectExpr("id AS query_id", "CASE WHEN id % 2 = 0 THEN 'fox red' ELSE 'red fox red' END AS q")
+    found = search.bm25(queries, search.postings(docs, "id", "t"), 5)
+    assert _most_rows(found) <= 400 * 5
+    lists = {}
+    for r in found.collect():
+        lists.setdefault(r.query_id, []).append((r.place, r.entry_id))
+    assert len(lists) == 400 and {tuple(sorted(found)) for found in lists.values()} == {tuple(enumerate((0, 7, 14, 21, 28)))}
+    assert sorted(search.bm25_texts(queries, docs, "id", "t", 5).collect()) == sorted(found.collect())
+
+
 def test_merge_shows_a_word_once_definitions_first(spark):
     schema = "query_id int, query string, pack_id string, entry_id bigint, headword string, pos string, match_kind int, score int, has_frequency boolean, active boolean, by_frequency boolean, bilingual boolean"
     rows = [
