@@ -49,7 +49,7 @@ def queries(spark: SparkSession, sf_dir: str, length: int | None = None) -> Data
 
 def typo_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misspelt queries: the sixth and seventh letter of a key changed places."""
-    q = F.concat(F.substring("norm", 1, 5), F.substring("norm", 7, 1), F.substring("norm", 6, 1), F.substring("norm", 8, 200))
+    q = F.concat(F.substring("norm", 1, 5), F.substring("norm", 7, 1), F.substring("norm", 6, 1), F.expr("substring(norm, 8)"))
     rows = entry(spark, sf_dir).filter("id % 20 = 0").filter(F.length("norm") >= 7)
     return rows.select(F.col("id").alias("query_id"), norm(q).alias("q"), F.col("lang").alias("q_lang"), F.col("fuzzy").alias("q_fuzzy"))
 

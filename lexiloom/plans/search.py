@@ -14,6 +14,7 @@ LIMIT = 30
 PREFIX_LENGTH = 3
 #: What the probe of an empty search counts to, and more than any list has.
 PROBE_LIMIT, EVERY = 9, 2**31 - 1
+PROBE_LETTERS = 4
 
 
 def q2_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,17 +155,36 @@ def empty_probe(queries: DataFrame, entry: DataFrame, form: DataFrame, trans: Da
     asked = durable(each.select(F.struct("query_id", "_l").alias("query_id"), "q", F.col("_l").alias("q_lang"), X.fuzzy(F.col("q"), F.col("_l")).alias("q_fuzzy")))
     rungs = [S.prefix_rung(asked, entry, PROBE_LIMIT), S.inflected_rung(asked, form, entry, PROBE_LIMIT), S.translation_rung(asked, trans, entry, PROBE_LIMIT), S.fuzzy_rung(asked, entry)]
     other = S.cascade(rungs, PROBE_LIMIT).groupBy(F.col("query_id.query_id").alias("query_id")).agg(F.count("*").alias("n_other"))
-    index = durable(S.postings(definitions, "id", "words"))
     # All that match are taken before the language is looked at, so that no other language's use up the limit.
-    held = S.bm25(empty, index, EVERY).join(definitions.select(F.col("id").alias("entry_id"), "lang"), "entry_id").join(empty.select("query_id", "q_lang"), "query_id")
+    held = S.bm25_texts(empty, definitions, "id", "words", EVERY).join(definitions.select(F.col("id").alias("entry_id"), "lang"), "entry_id").join(empty.select("query_id", "q_lang"), "query_id")
     defined = held.filter("q_lang IS NULL OR q_lang = lang").groupBy("query_id").agg(F.count("*").alias("n_definitions"))
     capped = [F.least(F.coalesce(c, F.lit(0)), F.lit(PROBE_LIMIT)).cast("bigint").alias(c) for c in ("n_definitions", "n_other")]
     return empty.select("query_id").join(defined, "query_id", "left").join(other, "query_id", "left").select("query_id", *capped)
 
 
+def short_probe(queries: DataFrame, entry: DataFrame) -> DataFrame:
+    """``(query_id, n_other)`` of the queries that no headword of their language begins with.
+
+    The entries of all languages that begin with the first four letters, counted to ``PROBE_LIMIT``. An empty text begins
+    every headword; a query without a language has none in it.
+    """
+    begins = F.explode(F.sequence(F.lit(0), F.length("norm"))).alias("_n")
+    prefixes = entry.filter("norm IS NOT NULL").select("lang", "norm", begins).groupBy(F.expr("substring(norm, 1, _n)").alias("_p"), "lang").agg(F.count("*").alias("n"))
+    asked = queries.select("query_id", "q", "q_lang")
+    met = prefixes.join(asked.select(F.col("q").alias("_p"), F.col("q_lang").alias("lang")).distinct(), ["_p", "lang"], "left_semi")
+    empty = asked.join(met.select(F.col("_p").alias("q"), F.col("lang").alias("q_lang")), ["q", "q_lang"], "left_anti").select("query_id", F.substring("q", 1, PROBE_LETTERS).alias("_p"))
+    others = prefixes.filter(F.length("_p") <= PROBE_LETTERS).groupBy("_p").agg(F.sum("n").alias("n"))
+    return empty.join(others, "_p", "left").select("query_id", F.least(F.coalesce("n", F.lit(0)), F.lit(PROBE_LIMIT)).cast("bigint").alias("n_other"))
+
+
 def q20_empty_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For misspelt queries that begin no headword of their language: how many entries begin with their first letters, counted to nine."""
+    return short_probe(pack.typo_queries(spark, sf_dir), durable(pack.entry(spark, sf_dir)))
+
+
+def q20_whole_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For queries without a result in their language: how many definitions and how many entries of other languages have one, counted to nine."""
-    definitions = pack.staging(spark, sf_dir).select("id", "lang", X.norm(F.col("fts_body")).alias("words"))
+    definitions = durable(pack.staging(spark, sf_dir).select("id", "lang", X.norm(F.col("fts_body")).alias("words")))
     return empty_probe(pack.typo_queries(spark, sf_dir), durable(pack.entry(spark, sf_dir)), pack.form(spark, sf_dir), pack.trans(spark, sf_dir), definitions)
 
 
@@ -199,7 +219,7 @@ _TYPO = f"""typo AS (SELECT id AS query_id, {X.norm_sql("concat(substr(norm, 1,
 
 QUERIES = {
     f.__name__: f
-    for f in (q1_suggest, q1_suggest_misspelt, q2_prefix, q3_inflected, q4_translation, q5_fuzzy, q6_definitions, agg26_bm25_stats, q7_entry, q8_resolve, q9_entry_id, q10_previews, q12_merge, q13_fallback, q19_visit_target, q20_empty_probe)
+    for f in (q1_suggest, q1_suggest_misspelt, q2_prefix, q3_inflected, q4_translation, q5_fuzzy, q6_definitions, agg26_bm25_stats, q7_entry, q8_resolve, q9_entry_id, q10_previews, q12_merge, q13_fallback, q19_visit_target, q20_empty_probe, q20_whole_probe)
 }
 
 ORACLES = {

@@ -4,6 +4,7 @@ import random
 import unicodedata
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,3 +398,23 @@ def test_empty_probe_asks_the_whole_cascade(spark):
     definitions = spark.createDataFrame(texts, "id bigint, lang string, words string")
     found = {r.query_id: (r.n_definitions, r.n_other) for r in plan_search.empty_probe(queries, entry, form, trans, definitions).collect()}
     assert found == {4: (0, 1), 5: (1, 9), 6: (0, 1), 7: (1, 0), 9: (9, 1)}, found
+
+
+def test_short_probe_agrees_with_its_sql_on_odd_rows(spark, tmp_path):
+    """No language, keys of blanks, marks or one letter, a long key, repeated rows; the columns are those of the SQL too."""
+    columns = "id bigint, uid bigint, lang string, headword string, norm string, fuzzy string, pos string, rank int, payload binary, loaded_at timestamp, removed_at timestamp"
+    keys = ["perezoso", "perezoso", "pereozso y mas", "       ", "a b c d e f", "á´´´´´´", "zzzzaabc", "x" * 5 + "yz" + "w" * 300, "x" * 5 + "zy" + "w" * 300, "libro", "", None] + [f"zzzz{i}" for i in range(12)]
+    rows = [(20 * (i + 1), i, lang, k, k, k, "noun", i, None, datetime(2024, 1, 1 + again), None) for i, k in enumerate(keys) for lang in [("es", "en", None)[i % 3]] for again in range(1 + i % 2)]
+    rows += [(7, 7, "es", "pereozso", "pereozso", "pereozso", None, 1, None, datetime(2024, 1, 1), None), (None, 8, "es", "zzzz", "zzzz", "zzzz", None, 1, None, datetime(2024, 1, 1), None)]
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/entry.parquet")
+    empty = {"form": "norm string, entry_id bigint", "trans": "norm string, entry_id bigint", "staging": f"{columns}, body string", "frase": "frase_id bigint, lang string, norm string, texto string, loaded_at timestamp"}
+    con = duckdb.connect()
+    for name, schema in empty.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("entry", *empty):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(plan_search.ORACLES["q20_empty_probe"])
+    found = plan_search.q20_empty_probe(spark, str(tmp_path))
+    assert found.columns == [c[0] for c in want.description]
+    expected = sorted(want.fetchall())
+    assert sorted(map(tuple, found.collect())) == expected and len(expected) > 5 and {n for _, n in expected} > {9}
