@@ -420,6 +420,26 @@ def test_recall_of_every_chain_on_held_out_texts(spark):
     assert not weak and sum(found.values()) > 0.95 * sum(tried.values()), weak
 
 
+def test_every_clean_text_validates_the_margin_and_teaches(spark, monkeypatch):
+    """Of 6,000 different texts none is held out of the model or left out of the validation."""
+    words = [f"ni{a}o{b}{c}" for a in "ñáéíóú" for b in "bcdfgh" for c in "aeio"]
+    rows = [(i, f"el {words[i % 144]} {words[i // 144 % 144]} {i}") for i in range(6000)]
+    counts, taught = [], []
+    margin_of, train = mojibake.margin_of, mojibake.train
+    monkeypatch.setattr(mojibake, "margin_of", lambda clean, garbled: counts.append((clean, garbled)) or margin_of(clean, garbled))
+    monkeypatch.setattr(mojibake, "train", lambda words, *rest: taught.append(words.filter("word = 'el'").first().n) or train(words, *rest))
+    mojibake.learn(spark.createDataFrame(rows, "doc_id bigint, text string"), "text")
+    clean, garbled = ((sum(c.values()) if isinstance(c, dict) else len(c)) for c in counts[0])
+    assert clean == 6000 and garbled > 2000 and taught == [6000, 6000], (clean, garbled, taught)
+
+
+def test_margin_counts_records():
+    """A histogram decides as its records do; nothing validated gives the middle."""
+    assert mojibake.margin_of({}, {}) == 10.0
+    few, many = mojibake.margin_of({0.0: 90, 8.0: 10}, {6.0: 1, 20.0: 99}), mojibake.margin_of({0.0: 90, 8.0: 1}, {6.0: 99, 20.0: 1})
+    assert 8 < few < 20 and many < 6
+
+
 def test_garbled_in_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert mojibake.find_garbled(df).count() == 0
