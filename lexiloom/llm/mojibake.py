@@ -611,16 +611,22 @@ def learn(rows: DataFrame, text: str, doubt: float = 2.0, surely: float = 12.0,
     doubted = judged(screen.filter("NOT dirty"), first, doubt).select("word", "gain")
     doubted = durable(doubted.unionByName(screen.filter("dirty").select("word", F.lit(float("inf")).alias("gain"))))
     held = rows.filter(_beyond_ascii(F.col(text))).select(*text_id(F.col(text)), F.array_join(_odd_words(F.col(text)), " ").alias("words"))
-    held = durable(held.groupBy(*_TEXT_ID).agg(F.first("words").alias("words")))
-    pairs = held.select(*_TEXT_ID, F.explode(F.split("words", " ")).alias("word"))
-    unclean = durable(pairs.join(doubted, "word").groupBy(*_TEXT_ID).agg(F.max("gain").alias("gain")))
+    held = durable(held.groupBy(*_TEXT_ID).agg(F.first("words").alias("words")).withColumn("no", F.monotonically_increasing_id()))
+
+    def holders_of(words: DataFrame) -> DataFrame:
+        """The texts with one of ``(word, gain)`` and the largest gain of their words."""
+        pairs = held.select("no", F.explode(F.split("words", " ")).alias("word"))  # numbers, since random ids don't compress
+        found = pairs.join(words.select("word", "gain"), "word").groupBy("no").agg(F.max("gain").alias("gain"))
+        return durable(found.join(held.select("no", *_TEXT_ID), "no").drop("no"))
+
+    unclean = holders_of(doubted)
     taken = counted(rows.select(text, *text_id(F.col(text))).join(unclean, [*_TEXT_ID], "left_semi").select(text).distinct())
     left = vocabulary.join(taken.select("word", F.col("n").alias("_m")), "word", "left").select("word", (F.col("n") - F.coalesce("_m", F.lit(0))).alias("n"))
     model = train(left, max_triples)
 
     def bettered(by: float) -> tuple[DataFrame, DataFrame]:
         words = durable(judged(odd, model, by))
-        return words, durable(pairs.join(words.select("word", "gain"), "word").groupBy(*_TEXT_ID).agg(F.max("gain").alias("gain")))
+        return words, holders_of(words)
 
     words, holders = bettered(least)
     clean = held.repartition(_tasks(held), "tid").join(unclean.filter(F.col("gain") > surely).select("tid"), "tid", "left_anti")
